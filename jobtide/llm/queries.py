@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .jaccard import jaccard_components
+from .knn import top_k
 from .langid import identify
+from .licenses import scan
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .pieces import round_trip
 from .pii import digest, find_pii
+from .suffix import cleaned
 from .tokens import count_tokens
 
 BPE = "byte_bpe_50k.json"
@@ -22,10 +27,26 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=85, words=4)
+
+
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_exact_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(table(spark, sf_dir, "documents")))
 
@@ -34,11 +55,17 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaned(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_token_counts, op7_pii, op8_sentencepiece, op10_language_id)}
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_ngram_jaccard, op3_embedding_neardup, op4_exact_knn, op5_token_counts, op6_license_scan, op7_pii, op8_sentencepiece, op9_suffix_dedup, op10_language_id
+)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
