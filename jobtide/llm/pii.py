@@ -141,6 +141,7 @@ def listed(spans: Column) -> Column:
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, the SHA-256 of their list, and the list of all spans."""
-    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    base = of(*BASE_KINDS)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
