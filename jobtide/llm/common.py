@@ -45,6 +45,11 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def with_columns(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id long, text string) and then the columns ``keep``, which may have those names again."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list[str]]]:
     """Runs of (ids, texts) of about ``chars`` characters; a null text counts as empty."""
     ids, texts, size = [], [], 0

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix
+from .common import with_columns
 
 DIM, GRAM, SEED = 512, 3, 20
 #: The prototypes are fitted on about so many labelled texts of a language at most, chosen by a hash of the id.
@@ -109,11 +109,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def predict(docs: DataFrame, model: dict[str, np.ndarray], dim: int = DIM) -> DataFrame:
-    """lang_pred and score appended to (doc_id, text): the language of the nearest prototype and its cosine, mapped from -1..1 to 0..1.
+def predict(docs: DataFrame, model: dict[str, np.ndarray], *keep: str, dim: int = DIM) -> DataFrame:
+    """doc_id, lang_pred, score, and then the columns ``keep`` as they are: the language of the nearest prototype and its cosine, mapped from -1..1 to 0..1.
 
-    ``und`` and 0 for a null text, one without a letter, or an empty model. Ties go to the smaller name.
-    The columns are doc_id, lang_pred, score, one row for each input row.
+    ``und`` and 0 for a null text, one without a letter, or an empty model. Ties go to the smaller name. One row for each input row.
     """
     names, matrix = list(model), np.array(list(model.values()), np.float32).reshape(len(model), dim)
 
@@ -131,11 +130,11 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], dim: int = DIM) -> Da
                 k = int(np.argmax(cos))
                 langs.append(names[k])
                 scores.append(min(1.0, max(0.0, (1 + float(cos[k])) / 2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], names=schema.names)
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    schema = T.StructType([*fields, *docs.select(*keep).schema.fields])
+    return with_columns(docs, *keep).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
@@ -145,6 +144,3 @@ def identify(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """
     model = prototypes(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))), sample)
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
-
-
-__all__ = ["identify", "mix", "predict", "profile", "prototypes"]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, documents
+from .common import with_columns
 
 # The kinds in their order, and what each is replaced with.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -116,23 +116,25 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
-def find_pii(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id and spans, an array of (kind, start, end, score) in the order of KINDS and then start.
+def find_pii(docs: DataFrame, *keep: str, redacted: bool = False) -> DataFrame:
+    """doc_id and spans, an array of (kind, start, end, score) in the order of KINDS and then start; then the columns ``keep`` as they are.
 
-    With ``keep_text`` also the redacted text. One row for each input row; a null or empty text has no spans and
+    With ``redacted`` also the redacted text. One row for each input row; a null or empty text has no spans and
     becomes the empty text; a null id stays null. Every pattern is linear in the text, however long. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
-            found = [find(t) for t in texts]
-            columns = [pa.array(ids, pa.int64()), pa.array([[dict(zip(SPAN.names, s, strict=True)) for s in f] for f in found], _ARROW_SPANS)]
-            if keep_text:
-                columns.append(pa.array([redact(t, f) if f else t for t, f in zip(texts, found, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "spans", "redacted"][: len(columns)])
-
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", T.ArrayType(SPAN))] + [T.StructField("redacted", T.StringType())] * keep_text)
-    return documents(docs).mapInArrow(run, schema)
+        for b in batches:
+            found = [find(t.as_py() or "") for t in b.column(1)]
+            columns = [b.column(0), pa.array([[dict(zip(SPAN.names, s, strict=True)) for s in f] for f in found], _ARROW_SPANS)]
+            if redacted:
+                columns.append(pa.array([redact(t.as_py() or "", f) for t, f in zip(b.column(1), found, strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays([*columns, *b.columns[2:]], names=schema.names)
+
+    kept = docs.select(*keep)
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), *[T.StructField("redacted", T.StringType())] * redacted]
+    schema = T.StructType([*fields, *kept.schema.fields])
+    return with_columns(docs, *keep).mapInArrow(run, schema)
 
 
 def listed(spans: Column) -> Column:
