@@ -24,7 +24,7 @@ THRESHOLD = 0.95
 SAMPLE = 16_384
 TREES, LEAF_ROWS = 5, 768
 #: A margin in units of the spread that a random direction sees between a pair at the threshold.
-MARGIN = 0.75
+MARGIN = 0.45
 #: Rows of a leaf that meet at once; a larger leaf is compared block by block.
 BLOCK_ROWS = 4096
 
