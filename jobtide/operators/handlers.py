@@ -24,6 +24,8 @@ class RetryJob(Exception):
 @dataclass
 class Registry:
     handlers: dict[str, Callable[[dict[str, Any], int], Any]] = field(default_factory=dict)
+    #: Called with a handler's name, attempt and status after each call, if set.
+    hook: Callable[[str, int, str], None] | None = None
 
     def register(self, name: str, handler: Callable[[dict[str, Any], int], Any], replace: bool = False) -> None:
         if not name.strip():
@@ -43,6 +45,12 @@ class Registry:
 
     def run(self, name: str, params: str | None, attempt: int) -> tuple[str, str | None, str | None, str | None, float | None]:
         """(status, result, error type, error message, retry after) of one call."""
+        out = self._call(name, params, attempt)
+        if self.hook:
+            self.hook(name, attempt, out[0])
+        return out
+
+    def _call(self, name: str, params: str | None, attempt: int) -> tuple[str, str | None, str | None, str | None, float | None]:
         handler = self.handlers.get(name)
         if handler is None:
             return "error", None, "handler_not_found", f"No handler registered for function '{name}'", None

@@ -45,3 +45,16 @@ def in_flight(attempts: DataFrame, by: str = "worker_id") -> DataFrame:
 
 def runner_totals(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("function_name", "outcome").agg(F.count("*").alias("jobs"), F.avg("duration_ms").alias("mean_ms"), F.max("duration_ms").alias("max_ms"))
+
+
+def spans(attempts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """What a trace says of each attempt: job, queue, function, worker, outcome, wait, duration, and the time left to the deadline, at least 0."""
+    j = jobs.select(F.col("id").alias("job_id"), "enqueue_time", "job_timeout_seconds")
+    rows = attempts.join(j, "job_id", "left")
+    left = F.greatest(F.lit(0.0), F.col("job_timeout_seconds") * 1000.0 - F.col("duration_ms"))
+    return rows.select("job_id", "attempt", "queue_name", "function_name", "worker_id", "outcome", queue_wait_ms(F.col("start_time"), F.col("enqueue_time")).alias("queue_wait_ms"), "duration_ms", left.alias("deadline_remaining_ms"))
+
+
+def poll_cycles(polls: DataFrame) -> DataFrame:
+    """Polls (free, fetched) by result: no_capacity, no_jobs or fetched."""
+    return counter(polls.withColumn("result", F.when(F.col("free") <= 0, "no_capacity").when(F.col("fetched") == 0, "no_jobs").otherwise("fetched")), "result")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.scalars import backoff, dlq_key, epoch_ms, from_ms, plus_seconds
 from jobtide.operators.state import JobState
+from jobtide.schemas import OUTCOMES
 from jobtide.settings import Settings
 
 
@@ -96,3 +97,15 @@ def matched(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 def right_version(requests: DataFrame, version: str = "2") -> DataFrame:
     return requests.withColumn("accepted", F.coalesce(F.col("protocol_version") == version, F.lit(False)))
+
+
+def outcome(status: str, result: Column | None = None, message: str | None = None, kind: str | None = None, retry_after: float | None = None) -> Column:
+    """An outcome as a struct: outcome("success", result), outcome("retry", message=..., retry_after=...), outcome("timeout", message=...), outcome("error", message=..., kind=...)."""
+    if status not in OUTCOMES:
+        raise ValueError(f"{status!r} is no outcome")
+    error = F.struct(F.lit(message).alias("message"), F.lit(kind).alias("type"))
+    return F.struct(F.lit(status).alias("status"), (F.lit(None).cast("string") if result is None else result).alias("result"), F.when(F.lit(message is not None or kind is not None), error).alias("error"), F.lit(retry_after).cast("double").alias("retry_after_seconds"))
+
+
+def handler_not_found(name: Column) -> Column:
+    return F.struct(F.concat(F.lit("No handler registered for function '"), name, F.lit("'")).alias("message"), F.lit("handler_not_found").alias("type"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.functions import scalars as fn
-from jobtide.operators import admin, admit, claim, cron, handlers, metrics, outcome, recover
+from jobtide.operators import admin, admit, claim, cron, handlers, metrics, outcome, recover, sinks
 from jobtide.operators.state import empty
 from jobtide.plans import twins
 from jobtide.settings import Settings
@@ -285,6 +285,32 @@ def snk16_frames(spark: SparkSession, d: str) -> DataFrame:
     return wire.messages(frames.select(F.hex("frame").alias("path"), F.col("frame").alias("content"))).select("at", "message", "problem")
 
 
+@query
+def snk8_dlq_remove(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.state(spark, d)
+    again = s.dlq.withColumn("pushed_seq", F.col("pushed_seq") + 1).where(F.col("job_id").cast("long") % 2 == 0)
+    s = s.with_(dlq=s.dlq.unionByName(again))
+    return sinks.undead(s, s.dlq.where(F.col("job_id").cast("long") % 3 == 0)).dlq
+
+
+@query
+def snk6_results(spark: SparkSession, d: str) -> DataFrame:
+    s, k = fx.state(spark, d), F.col("id").cast("long")
+    done = s.jobs.where("status = 'ACTIVE'").select("id", F.lit("7").alias("result"), (k % 3 - 1).alias("ttl_seconds"))
+    return sinks.with_results(s, done, fx.now()).select("id", "status", "result", "completion_time", "expires_at")
+
+
+@query
+def met12_spans(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.spans(fx.attempts(spark, d), fx.jobs(spark, d)).drop("worker_id")
+
+
+@query
+def met3_poll_cycles(spark: SparkSession, d: str) -> DataFrame:
+    seq = F.col("seq")
+    return metrics.poll_cycles(fx.requests(spark, d).select((seq % 4).alias("free"), (seq % 3).alias("fetched")))
+
+
 @query
 def src24_generated(spark: SparkSession, d: str) -> DataFrame:
     return wire.generated_jobs(spark, 1000)

@@ -127,6 +127,11 @@ SQL = {
     "met8_inflight": over("""SELECT worker_id, ts_ms, sum(delta) OVER (PARTITION BY worker_id ORDER BY ts_ms)::BIGINT AS in_flight FROM (SELECT worker_id, ts_ms, sum(delta) AS delta FROM (SELECT worker_id, epoch_ms(start_time) AS ts_ms, 1 AS delta FROM attempts
       UNION ALL SELECT worker_id, epoch_ms(start_time)+duration_ms::BIGINT, -1 FROM attempts) GROUP BY 1, 2)""", ALL, ATTEMPTS),
     "met10_runner": over("SELECT function_name, outcome, count(*) AS jobs, avg(duration_ms) AS mean_ms, max(duration_ms) AS max_ms FROM attempts GROUP BY 1, 2", ALL, ATTEMPTS),
+    "snk8_dlq_remove": over("""SELECT dlq_name, job_id, pushed_seq FROM (SELECT *, row_number() OVER (PARTITION BY dlq_name, job_id ORDER BY pushed_seq DESC) AS nth FROM (SELECT * FROM dlq UNION ALL SELECT dlq_name, job_id, pushed_seq+1 FROM dlq WHERE job_id::BIGINT%2=0))
+      WHERE job_id::BIGINT%3<>0 OR nth>1"""),
+    "snk6_results": over(f"SELECT id, CASE WHEN status='ACTIVE' THEN 'COMPLETED' ELSE status END AS status, CASE WHEN status='ACTIVE' THEN '7' ELSE result END AS result, CASE WHEN status='ACTIVE' THEN {NOW} ELSE completion_time END AS completion_time, CASE WHEN status='ACTIVE' AND k%3=2 THEN {NOW} + INTERVAL 1 SECOND END AS expires_at FROM jobs"),
+    "met12_spans": over("SELECT a.job_id, attempt, a.queue_name, a.function_name, outcome, greatest(0, epoch_ms(a.start_time)-epoch_ms(j.enqueue_time)) AS queue_wait_ms, duration_ms, greatest(0.0, coalesce(job_timeout_seconds*1000.0-duration_ms, 0))::DOUBLE AS deadline_remaining_ms FROM attempts a JOIN jobs j ON j.id=a.job_id", ALL, ATTEMPTS),
+    "met3_poll_cycles": over("SELECT CASE WHEN seq%4<=0 THEN 'no_capacity' WHEN seq%3=0 THEN 'no_jobs' ELSE 'fetched' END AS result, count(*) AS total FROM requests GROUP BY 1", REQUESTS),
     "udf3_outcomes": over("""SELECT id AS job_id, CASE k%5 WHEN 0 THEN 'success' WHEN 1 THEN 'error' WHEN 2 THEN 'timeout' WHEN 3 THEN CASE WHEN current_retries+1 < 2 THEN 'retry' ELSE 'success' END ELSE 'error' END AS status,
       CASE k%5 WHEN 1 THEN 'RuntimeError' WHEN 2 THEN 'timeout' WHEN 4 THEN 'handler_not_found' END AS error_type FROM jobs"""),
 }

@@ -72,6 +72,15 @@ def generated_jobs(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     )
 
 
+def generated_heartbeats(spark: SparkSession, workers: int, beats: int, interval_s: int = 60, start: str = "2024-01-01 00:00:00") -> DataFrame:
+    """Heartbeats of ``workers`` at a fixed interval."""
+    n = F.col("n")
+    at = F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.floor(n / workers) * interval_s).cast("decimal(18,6)"))
+    return spark.range(workers * beats).withColumnRenamed("id", "n").select(
+        F.concat(F.lit("gen-w"), (n % workers).cast("string")).alias("worker_id"), at.alias("timestamp"), F.when(F.pmod(F.xxhash64("n"), F.lit(4)) == 0, "idle").otherwise("running").alias("status"), F.pmod(F.xxhash64("n", F.lit(1)), F.lit(8)).alias("active_jobs")
+    )
+
+
 def generated_load(spark: SparkSession, per_second: int) -> DataFrame:
     """An endless stream of synthetic requests at a fixed rate."""
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.concat(F.lit("load-"), F.col("value").cast("string")).alias("id"), "timestamp")

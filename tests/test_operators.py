@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from jobtide import settings
 from jobtide.functions import scalars as fn
-from jobtide.operators import admit, claim, cron, handlers, outcome, recover
+from jobtide.client import Client, submission
+from jobtide.operators import admit, claim, cron, handlers, outcome, recover, sinks
 from jobtide.operators.state import by_glob, empty, insert_new, patched, upsert
 from jobtide.sources import fixtures as fx
 from jobtide.sources import wire
@@ -165,3 +166,32 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     seen = []
     admission.drain(admission.windowed(stream.withColumn("function_name", F.lit("f")), "1 day"), lambda df, n: seen.append(df.agg(F.sum("requests")).first()[0]), str(tmp_path / "d"))
     assert sum(x or 0 for x in seen) > 0
+
+
+def test_client(spark):
+    r = requests(spark, [("a", 0), ("a", 5), ("b", 6), ("a", 70)]).withColumns({"id": F.concat(F.lit("j"), F.col("seq").cast("string")), "queue_name": F.lit("x")})
+    c = Client(empty(spark), S)
+    got = {x["seq"]: (x["job_id"], x["created"]) for x in c.enqueue_with_unique_key(r, 60).collect()}
+    assert got == {0: ("j0", True), 1: ("j0", False), 2: ("j2", True), 3: ("j3", True)} and c.state.jobs.count() == 3
+    c = Client(empty(spark), S)
+    assert {x["seq"]: x["job_id"] for x in c.enqueue_with_rate_limit(r, 10).collect()} == {0: "j0", 1: None, 2: "j2", 3: "j3"}
+    c = Client(empty(spark), S)
+    assert c.enqueue_with_debounce(r, 10).count() == 3 and {(x["id"], x["job_params"]) for x in c.state.jobs.collect()} == {("j0", "p1"), ("j2", "p2"), ("j3", "p3")}
+    assert {tuple(x)[:2] for x in c.get_job_status(c.state.jobs).collect()} == {(i, "PENDING") for i in ("j0", "j2", "j3")}
+    assert submission({"x": 1}, [2]) == {"x": 1, "args": [2]}
+    with pytest.raises(ValueError):
+        submission({"args": 1}, [2])
+
+
+def test_sinks(spark):
+    s = fx.state(spark, SF)
+    one = s.queue.limit(1).withColumn("score_ms", F.lit(1.0))
+    assert sinks.queued(s, one).queue.count() == s.queue.count() and sinks.queued(s, one).queue.where("score_ms = 1").count() == 1
+    new, gone = sinks.unqueued(s, one)
+    assert new.queue.count() == s.queue.count() - 1 and gone.count() == 1
+    d = sinks.dead(s, s.jobs.where("status = 'ACTIVE'").select("id", F.lit("bad").alias("error")), fx.now(), S)
+    assert d.dlq.count() == s.dlq.count() + s.active.count() and d.jobs.where("last_error = 'bad' and status = 'FAILED'").count() == s.active.count()
+    assert sinks.saved(s, s.jobs.limit(3).withColumn("status", F.lit("CANCELLED"))).jobs.count() == s.jobs.count()
+    assert sinks.untracked(s, s.active.select("worker_id", "job_id")).active.count() == 0 and sinks.tracked(s, s.active).active.count() == s.active.count()
+    assert spark.range(1).select(outcome.outcome("retry", message="m", retry_after=2.0).alias("o")).first()["o"]["retry_after_seconds"] == 2.0
+    assert wire.generated_heartbeats(spark, 3, 4).count() == 12
