@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Stretches, blocks, mix, powers, ragged, signed, written
 
@@ -27,8 +28,6 @@ CHUNK_BYTES = 1_500_000
 #: Spans of a group beyond this number are dealt by longer shared strings.
 HOT_SPANS = 20_000
 HOT_PARTS = 4
-#: Up to so many rows are broadcast to the texts; beyond it the texts are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -106,7 +105,7 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(6):  # six symbols of nine bits fit into a word
         key = key << 9 | word[i : i + n]
-    order, h = np.argsort(key, kind="stable"), 6
+    order, h = np.argsort(key), 6
     while True:
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
@@ -116,7 +115,7 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: n - h] = rank[h:] + 1
         key = rank * (n + 1) + after
-        order, h = np.argsort(key, kind="stable"), 2 * h
+        order, h = np.argsort(key), 2 * h
 
 
 def repeated(codes: np.ndarray, length: int) -> np.ndarray:
@@ -128,24 +127,25 @@ def repeated(codes: np.ndarray, length: int) -> np.ndarray:
     """
     n = len(codes)
     order = suffix_order(codes, length)
-    bwt = codes[order - 1].astype(np.int64)
-    by_symbol = np.argsort(bwt, kind="stable")
-    forward = np.empty(n, np.int64)
-    forward[by_symbol] = np.arange(n)
-    del by_symbol
+    front = codes[order]
+    bwt = codes[order - 1]
+    forward = np.empty(n, np.int64)  # where the suffix one symbol longer stands
+    forward[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)
+    of = np.zeros(n, np.int32)
     unset = np.ones(n + 1, bool)
     lo, hi = np.array([0]), np.array([n])
     for _ in range(length):
         if not len(lo):
             break
         size = hi - lo
-        at = ragged(lo, size)
-        key = np.repeat(np.arange(len(lo)), size) * 512 + bwt[at]
-        _, index, count = np.unique(key, return_index=True, return_counts=True)
-        begin = forward[at[index]]
-        end = begin + count
-        end, where = np.unique(end, return_index=True)  # of intervals with one end the first found stands for all
-        begin = begin[where]
+        f = forward[ragged(lo, size)]
+        of[f] = np.repeat(np.arange(len(lo)), size)
+        f = np.sort(f)
+        # the extensions of an interval by one symbol stand together
+        new = np.ones(len(f), bool)
+        new[1:] = (f[1:] != f[:-1] + 1) | (of[f[1:]] != of[f[:-1]]) | (front[f[1:]] != front[f[:-1]])
+        begin = f[new]
+        end = f[np.append(np.flatnonzero(new)[1:] - 1, len(f) - 1)] + 1
         fresh = unset[end]
         lo, hi = begin[fresh], end[fresh]
         unset[hi] = False
@@ -186,7 +186,7 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, length: int) -> DataFrame:
-    """(t, text, spans) to (key, t, start, bytes): the bytes of each span, those of hot groups dealt by longer shared strings."""
+    """(t, text, marks) to (key, t, start, bytes): the bytes of each span, those of hot groups dealt by longer shared strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,14 +253,15 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _at_texts(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """Lists of ``rows`` by text joined to the texts; broadcast only where they are few."""
-    small = rows.count() <= BROADCAST_ROWS
-    lists = rows.groupBy("t").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "t"])).alias("spans"))
-    return texts.join(F.broadcast(lists) if small else lists, "t", how)
+    """The set of ``rows``' values by text joined to the texts. Copies of a text bring equal rows, which count once."""
+    return texts.join(rows.groupBy("t").agg(F.collect_set("mark").alias("marks")), "t", how)
 
 
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(t, start, size): stretches of the texts (t, text) that are covered by repeated strings, but for contents that a text itself has again."""
+    """(t, mark): stretches of the texts (t, text) that repeated strings cover; mark holds start, size and a last bit.
+
+    Where the bit is set the text may have the same content again itself; of such contents only the first stretch is given.
+    """
     by_anchor, by_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
     again = F.col("span").bitwiseAND(1)
     rows = anchors(texts, length).withColumns({"low": F.min("content").over(by_anchor), "high": F.max("content").over(by_anchor), "n": F.count("*").over(by_anchor), "weight": F.sum(1 + again).over(by_anchor)}).where("weight > 1")
@@ -269,54 +270,55 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     # a group of one content, or of contents that all have several members, has nothing left to compare
     compared = (F.col("low") != F.col("high")) & (F.col("singles") > 0) & ((F.col("own") == 1) | (F.col("lead") == F.struct("t", "span")))
     rows = written(rows.select("anchor", "t", "span", "n", (F.col("own") > 1).alias("whole"), compared.alias("compared")))
-    whole = rows.where("whole").select("t", *_unpacked(F.col("span"), length)[:2])
-    wanted = written(rows.where("compared").select("t", "anchor", *_unpacked(F.col("span"), length)[:3], (F.col("n") > HOT_SPANS).alias("hot")).distinct())
-    contexts = _contexts(_at_texts(texts, wanted, "inner").select("t", "text", "spans"), length)
-    return whole.unionByName(_compared(contexts, length))
+    whole = rows.where("whole").select("t", *_unpacked(F.col("span"), length))
+    wanted = rows.where("compared").select("t", F.struct("anchor", *_unpacked(F.col("span"), length)[:3], (F.col("n") > HOT_SPANS).alias("hot")).alias("mark"))
+    contexts = _contexts(_at_texts(texts, wanted, "inner").select("t", "text", "marks"), length)
+    found = whole.select("t", "start", "size", "again").unionByName(_compared(contexts, length).withColumn("again", F.lit(0).cast("long")))
+    return found.select("t", F.shiftleft("start", 24).bitwiseOR(F.shiftleft("size", 1)).bitwiseOR(F.col("again")).alias("mark"))
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
+def cleaned(docs: DataFrame, *keep: str, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """Remove each byte that a ``length``-byte string covers which also starts anywhere else, the same text included.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the remaining bytes, and with
-    ``keep_text`` the remaining text, without characters that lost some of their bytes. One row for each input row; a null text counts as
+    ``keep_text`` the remaining text (kept), without characters that lost some of their bytes; then the columns ``keep`` as they are. One row for each input row; a null text counts as
     empty; strings never reach across texts; all is judged on the input. Copies of a text are removed as a whole in each row, if long enough.
     Strings are compared as bytes where contents differ and by 64-bit hashes where whole spans are equal.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select(F.xxhash64("text").alias("t"), "text", "doc_id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(text).alias("t"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(keep)])
     marks = written(repeats(rows.select("t", "text"), length))
 
+    def own_repeats(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Spans whose content the text has more than once."""
+        s = Spans([x], length)
+        _, inverse, count = np.unique(s.content, return_inverse=True, return_counts=True)
+        again = count[inverse] > 1
+        return s.start[again], s.size[again]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            at = 0
-            for _, texts in blocks([pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["doc_id", "text"])], 1_000_000):
-                data = [t.encode() for t in texts]
-                s = Spans(data, length)
-                order = np.lexsort((s.content, s.text))
-                t, c = s.text[order], s.content[order]
-                same = np.flatnonzero((t[1:] == t[:-1]) & (c[1:] == c[:-1]))
-                own = np.unique(np.concatenate([order[same], order[same + 1]])) if len(same) else np.zeros(0, np.int64)
-                by = np.split(own[np.argsort(s.text[own], kind="stable")], np.cumsum(np.bincount(s.text[own], minlength=len(data)))[:-1]) if len(own) else [own] * len(data)
-                for x, mine in zip(data, by, strict=True):
-                    spans = b.column(2)[at].as_py() or []
-                    at += 1
-                    start = np.concatenate([s.start[mine], np.array([m["start"] for m in spans], np.int64)])
-                    size = np.concatenate([s.size[mine], np.array([m["size"] for m in spans], np.int64)])
-                    depth = np.zeros(len(x) + 1, np.int64)
-                    np.add.at(depth, start, 1)
-                    np.add.at(depth, start + size, -1)
-                    gone = np.cumsum(depth)[:-1] > 0
-                    kept = np.frombuffer(x, np.uint8)[~gone].tobytes() if len(start) else x
-                    row = [len(x), int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(kept).hexdigest()]
-                    out.append([*row, kept.decode("utf-8", "ignore")] if keep_text else row)
+            for text, marks in zip(b.column(1), b.column(2), strict=True):
+                x = text.as_py().encode()
+                kept, gone, runs = x, 0, 0
+                if marks.is_valid:
+                    m = marks.values.to_numpy()
+                    start, size = m >> 24, m >> 1 & (1 << 23) - 1
+                    if (m & 1).any():
+                        more = own_repeats(x)
+                        start, size = np.concatenate([start, more[0]]), np.concatenate([size, more[1]])
+                    depth = np.bincount(start, minlength=len(x) + 1) - np.bincount(start + size, minlength=len(x) + 1)
+                    covered = np.cumsum(depth)[:-1] > 0
+                    gone, runs = int(covered.sum()), len(_runs(covered)[0])
+                    kept = np.frombuffer(x, np.uint8)[~covered].tobytes()
+                row = [len(x), gone, runs, hashlib.sha256(kept).hexdigest()]
+                out.append([*row, kept.decode("utf-8", "ignore")] if keep_text else row)
             columns = list(zip(*out, strict=True)) if out else [()] * (4 + keep_text)
             kinds = [pa.int64()] * 3 + [pa.string()] * (1 + keep_text)
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names[: 1 + len(columns)])
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
-    return _at_texts(rows, marks, "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
-
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *b.columns[3:]], names=schema.names)
 
+    fields = [T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.StringType())] * keep_text]
+    schema = T.StructType([*fields, *docs.select(*keep).schema.fields])
+    carried = [f"carried_{i}" for i in range(len(keep))]
+    return _at_texts(rows, marks, "left").select("doc_id", "text", "marks", *carried).mapInArrow(run, schema)

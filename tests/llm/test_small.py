@@ -76,7 +76,7 @@ def test_suffix(spark, corpus, monkeypatch):
     expected = brute.suffix(docs)
     assert {tuple(r) for r in suffix.cleaned(frame(spark, docs)).collect()} == expected
     monkeypatch.setattr(suffix, "HOT_SPANS", 3)
-    monkeypatch.setattr(suffix, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 2000)
     assert {tuple(r) for r in suffix.cleaned(frame(spark, docs)).collect()} == expected
     kept = suffix.cleaned(frame(spark, docs), keep_text=True).collect()
     assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in kept)
