@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, scratch, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,7 +20,9 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the table. Links of a node to itself and null ends are left out; an empty table gives none.
     """
     links = links.where(F.col("a") != F.col("b"))
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    spark = links.sparkSession
+    path = scratch(spark)
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), path)
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,7 +30,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = written(small.where("u != v").distinct())
+        path, old = scratch(spark), path
+        edges = written(small.where("u != v").distinct(), path)
+        discard(spark, old)
         state, before = _state(edges), state
         if state == before:
             break

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, mix, signed, written
+from .common import blocks, discard, documents, mix, scratch, signed, written
 from .components import components
 from .shingles import Sets, shingle_sets
 
-SKETCH_BITS = 2048
+SKETCH_BITS = 4096
 #: Sets of a group that meet at once when the leader has not settled it.
 BLOCK_SETS = 512
 #: Up to so many ids (16 bytes each) are broadcast to pick texts; beyond it the texts are joined by a shuffle.
@@ -150,8 +150,10 @@ def index(docs: DataFrame, percent: int, words: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, words: int) -> DataFrame:
     """Those pairs (a, b) of set identities whose sets link, from the whole texts of one document each."""
-    pairs = written(pairs)
-    wanted = written(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(classes.select("sid", "rep"), "sid").select(F.col("rep").alias("doc_id"), "sid"))
+    spark = docs.sparkSession
+    paths = [scratch(spark) for _ in range(3)]
+    pairs = written(pairs, paths[0])
+    wanted = written(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(classes.select("sid", "rep"), "sid").select(F.col("rep").alias("doc_id"), "sid"), paths[1])
     small = wanted.count() <= BROADCAST_IDS
     picked = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("sid", "text")
 
@@ -164,7 +166,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
             values = [s.hashes[sizes[k] - s.sizes[k] : sizes[k]].tobytes() for k in right]
             yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in right], pa.int64()), pa.array(values, pa.binary())], names=["sid", "members"])
 
-    sets = written(picked.mapInArrow(run, "sid long, members binary").dropDuplicates(["sid"]))
+    sets = written(picked.mapInArrow(run, "sid long, members binary").dropDuplicates(["sid"]), paths[2])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,7 +178,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("members").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+    links = written(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+    discard(spark, *paths)
+    return links
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4) -> DataFrame:
@@ -191,8 +195,11 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4) -> Da
     classes = written(described.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     group = Window.partitionBy("sig")
-    found = index(docs, percent, words).withColumns({"lead": F.min("sid").over(group), "last": F.max("sid").over(group)})
-    shared = written(found.where("lead != last").select("sig", "sid", "lead"))
+    found = index(docs, percent, words).withColumns({"low": F.min("sid").over(group), "high": F.max("sid").over(group), "size": F.count("*").over(group)})
+    shared = written(found.where("low != high").select("sig", "sid", "size").distinct())
+    # the leader of a group is the set that shares most with others: of near copies the one that they were made from
+    weight = shared.groupBy("sid").agg(F.sum("size").alias("weight"))
+    led = shared.join(weight, "sid").withColumn("lead", F.max(F.struct("weight", "sid")).over(group)["sid"])
 
     def refute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,15 +207,19 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4) -> Da
                 n1, n2 = (b.column(i).to_numpy() for i in (3, 5))
                 yield b.select(["a", "b", "common"]).filter(pa.array(_may_link(n1, _fixed(b.column(4), np.uint8), n2, _fixed(b.column(6), np.uint8), percent)))
 
-    pairs = shared.where("sid != lead").groupBy(F.col("sid").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("common"))
+    pairs = led.where("sid != lead").groupBy(F.col("sid").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("common"))
     one, two = (classes.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
     likely = pairs.join(one, "a").join(two, "b").select("a", "b", "common", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(refute, "a long, b long, common long")
     first = likely.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
     links = _verified(first, docs, classes, percent, words)
 
     label = components(links).select(F.col("node").alias("sid"), "component")
-    open_ = shared.select("sig", "sid").distinct().join(label, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    open_ = open_.withColumns({"low": F.min("component").over(group), "high": F.max("component").over(group), "size": F.count("*").over(group)}).where("low != high")
+    open_ = shared.select("sig", "sid").join(label, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    of_group = {"low": F.min("component"), "high": F.max("component"), "size": F.count("*"), "members": F.bit_xor(F.xxhash64("sid"))}
+    open_ = written(open_.withColumns({c: x.over(group) for c, x in of_group.items()}).where("low != high").select("sig", "sid", "component", "size", "members"))
+    # groups of the same members are looked at once
+    once = open_.groupBy("members", "size").agg(F.min("sig").alias("sig")).select("sig")
+    open_ = open_.join(once, "sig", "left_semi")
     nb = F.ceil(F.col("size") / BLOCK_SETS).cast("int")
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("sid"), nb).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
     open_ = open_.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "sid", "component")
