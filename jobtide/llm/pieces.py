@@ -24,13 +24,13 @@ from .common import WordStore, blocks, documents
 
 MARK = "▁"
 #: Merge checks of pairs of pieces that a worker keeps.
-MOST_PAIRS = 1_000_000
+MOST_PAIRS = 200_000
 #: Characters from here on are never told apart when the text is cut.
 WIDE = 1023
 
 
 class PieceModel:
-    def __init__(self, path: str, kind: str = "auto", most: int = 1_000_000):
+    def __init__(self, path: str, kind: str = "auto", most: int = 300_000):
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
@@ -168,7 +168,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for doc_ids, texts in blocks(batches):
+        for doc_ids, texts in blocks(batches, 1_000_000):
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([x.tobytes() for x in m.encode(texts)], pa.binary())], names=["doc_id", "ids"])
 
     return documents(docs).mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())]))
