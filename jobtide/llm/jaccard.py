@@ -11,6 +11,7 @@ components are looked at afterwards, block by block, with the sketches.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ BLOCK_SETS = 512
 #: Up to so many ids (16 bytes each) are broadcast to pick texts; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: What a candidate costs against a signature, for the choice of doubled segments.
-CANDIDATE_COST = 64.0
+CANDIDATE_COST = 8.0
 
 
 def most_apart(total: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -49,18 +50,19 @@ def bands(percent: int, most: int = 1 << 40) -> tuple[list[int], list[tuple[int,
         apart = 2 * (100 - percent) * top // (100 + percent)
         best = None
         for doubled in sorted({0, 1, apart // 2, (apart + 1) // 2}):
-            spare = 0
-            while True:
-                m = apart + 1 + spare - doubled
+            m, spare = apart + 1 - doubled, 0
+            for _ in range(60):  # room for the empty segments that a set may have
                 empty = m * (1 - 1 / m) ** low if m > 1 else 0.0
-                if m < max(1, doubled) or empty + 4 * empty**0.5 <= spare or spare > 12:
+                need = math.ceil(empty + 4 * empty**0.5)
+                if need <= spare:
                     break
-                spare += 1
-            if m < max(1, doubled):
+                m, spare = m + need - spare, need
+            # a doubled segment with one element or none would be shared by many sets
+            if m < max(1, doubled) or doubled and low < 8 * m:
                 continue
             size = low / m
             cost = m + doubled * size + CANDIDATE_COST * m * 2.0**-size
-            best = min(best or (cost, 0, 0, 0), (cost, m, doubled, spare)) if best else (cost, m, doubled, spare)
+            best = min(best or (cost, m, doubled, spare), (cost, m, doubled, spare))
         plans.append((apart, *best[1:]))
     return lows, plans
 
