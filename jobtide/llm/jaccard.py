@@ -25,6 +25,12 @@ from .components import components
 from .shingles import Sets, shingle_sets
 
 SKETCH_BITS = 4096
+#: Texts whose sketches are counted at once.
+SKETCH_TEXTS = 128
+#: Characters whose sets a task holds at once.
+SET_CHARS = 250_000
+#: Sets that a task knows it has indexed; beyond it the list starts anew.
+SEEN_SETS = 50_000
 #: Sets of a group that meet at once when the leader has not settled it.
 BLOCK_SETS = 512
 #: Up to so many ids (16 bytes each) are broadcast to pick texts; beyond it the texts are joined by a shuffle.
@@ -109,10 +115,15 @@ def signatures(sets: Sets, which: np.ndarray, percent: int) -> tuple[np.ndarray,
 
 def sketches(sets: Sets) -> np.ndarray:
     """Parities of the elements that fall on each of SKETCH_BITS bits; two sets' sketches differ in at most as many bits as the sets do in elements."""
-    n = len(sets.sizes)
-    at = sets.owner * SKETCH_BITS + (mix(sets.hashes ^ np.uint64(0x632BE59BD9B4E019)) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
-    odd = np.bincount(at, minlength=n * SKETCH_BITS).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(n, SKETCH_BITS), axis=1)
+    n, out = len(sets.sizes), []
+    bit = (mix(sets.hashes ^ np.uint64(0x632BE59BD9B4E019)) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
+    ends = np.concatenate([[0], np.cumsum(sets.sizes)])
+    for a in range(0, n, SKETCH_TEXTS):
+        b = min(n, a + SKETCH_TEXTS)
+        held = slice(ends[a], ends[b])
+        odd = np.bincount((sets.owner[held] - a) * SKETCH_BITS + bit[held], minlength=(b - a) * SKETCH_BITS).astype(np.uint8) & 1
+        out.append(np.packbits(odd.reshape(b - a, SKETCH_BITS), axis=1))
+    return np.concatenate([np.zeros((0, SKETCH_BITS // 8), np.uint8), *out])
 
 
 def _fixed(column: pa.Array, kind: type) -> np.ndarray:
@@ -129,7 +140,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, sid, sketch) of every text; sid, the identity of the set, is null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches, 1_000_000):
+        for ids, texts in blocks(batches, SET_CHARS):
             s = shingle_sets(texts, words)
             sid = pa.array(signed(s.identity), mask=s.sizes == 0)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s.sizes.astype(np.int64)), sid, pa.array([r.tobytes() for r in sketches(s)], pa.binary())], names=["doc_id", "n", "sid", "sketch"])
@@ -138,13 +149,20 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
 
 
 def index(docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """(sig, sid): the signatures of every set; copies within a block of texts are left out."""
+    """(sig, sid): the signatures of every set; copies that a task has indexed already are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in blocks(batches, 1_000_000):
+        seen: set[int] = set()
+        for _, texts in blocks(batches, SET_CHARS):
             s = shingle_sets(texts, words)
-            _, first = np.unique(s.identity, return_index=True)
-            text, sig = signatures(s, first, percent)
+            if len(seen) > SEEN_SETS:
+                seen.clear()
+            fresh = []
+            for i, x in enumerate(s.identity.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    fresh.append(i)
+            text, sig = signatures(s, np.array(fresh, np.int64), percent)
             yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(signed(s.identity[text]))], names=["sig", "sid"])
 
     return docs.mapInArrow(run, "sig long, sid long")
@@ -160,7 +178,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
     picked = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches, 1_000_000):
+        for ids, texts in blocks(batches, SET_CHARS):
             s = shingle_sets(texts, words)
             sizes = np.cumsum(s.sizes)
             # ids that more than one row has may bring a text of another set
