@@ -53,6 +53,18 @@ def test_jaccard(spark, corpus):
     assert [tuple(r) for r in jaccard.jaccard_components(frame(spark, [(None, "a b c d e"), (None, None)])).collect()] == [(None, 2, None), (None, 0, None)]
 
 
+def test_sketches_are_parities():
+    texts = [" ".join(f"w{i * j % 97}" for j in range(i % 40)) for i in range(300)] + [""] * 300
+    s = jaccard.shingle_sets(texts, 4)
+    got = np.unpackbits(jaccard.sketches(s), axis=1)
+    assert got.shape == (600, jaccard.SKETCH_BITS)
+    for i in range(0, 300, 7):
+        for j in range(1, 300, 31):
+            assert (got[i] != got[j]).sum() <= len(np.setxor1d(s.of(i), s.of(j)))
+        assert got[i].sum() % 2 == s.sizes[i] % 2
+    assert not got[300:].any()
+
+
 def test_jaccard_many_near_copies(spark):
     r = random.Random(2)
     words = [f"w{i}" for i in range(500)]
