@@ -22,6 +22,9 @@ from .common import with_columns
 DIM, GRAM, SEED = 512, 3, 20
 #: The prototypes are fitted on about so many labelled texts of a language at most, chosen by a hash of the id.
 SAMPLE_PER_LANGUAGE = 1000
+#: A text of a language is at least as like a prototype as this share of the labelled texts is not. Chance gives unrelated texts a cosine of
+#: about 1 / sqrt(DIM); the bound stays within these multiples of it, as few labelled texts are all too like the prototypes they make.
+LIKE_QUANTILE, LIKE_BOUNDS = 0.005, (4.0, 8.0)
 #: Code points from here on share the vectors of their remainder modulo LETTERS.
 LETTERS = 1024
 UND = "und"
@@ -47,8 +50,8 @@ def _vectors(dim: int, gram: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(np.roll(base, gram - 1 - k, axis=1)) for k in range(gram)]
 
 
-def profile(text: str, dim: int = DIM, gram: int = GRAM) -> np.ndarray | None:
-    """The bundled vector of a whole text; None if it has no letter. Runs of non-letters count as one gap."""
+def profiles(text: str, dim: int = DIM, gram: int = GRAM) -> np.ndarray | None:
+    """Two bundled vectors of a whole text, each n-gram by its count and by the root of it; None if it has no letter. Runs of non-letters count as one gap."""
     code = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
     if not code.any():
         return None
@@ -61,47 +64,99 @@ def profile(text: str, dim: int = DIM, gram: int = GRAM) -> np.ndarray | None:
     for k in range(gram):
         key = key * LETTERS + code[k : len(code) - gram + 1 + k]
     grams, count = np.unique(key, return_counts=True)
-    total = np.zeros(dim, np.float32)
+    total = np.zeros((2, dim), np.float32)
+    weights = np.stack([count, np.sqrt(count)]).astype(np.float32)
     for a in range(0, len(grams), 4096):  # a bounded matrix, however many n-grams a text has
         part, bound = grams[a : a + 4096], None
         for k in reversed(range(gram)):
             v = _vectors(dim, gram)[k][part % LETTERS]
             bound = v if bound is None else bound * v
             part = part // LETTERS
-        total += count[a : a + 4096].astype(np.float32) @ bound
+        total += weights[:, a : a + 4096] @ bound
     return total
 
 
-def prototypes(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, dim: int = DIM) -> dict[str, np.ndarray]:
-    """A unit vector for each language of ``labelled`` (doc_id, text, lang), centred on their mean.
+def profile(text: str, dim: int = DIM, gram: int = GRAM) -> np.ndarray | None:
+    """The bundled vector of a whole text by its n-grams' counts; None if it has no letter."""
+    both = profiles(text, dim, gram)
+    return None if both is None else both[0]
 
-    Fitted on a sample by hash of the id: about ``sample`` texts of a language at most. The driver gets one count
-    and one vector of ``dim`` numbers for each language.
-    """
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=-1, keepdims=True).clip(1e-9)
+
+
+def _sampled(labelled: DataFrame, sample: int) -> DataFrame | None:
+    """(lang, text) of about ``sample`` texts of a language at most, by a hash of the id; None if no row is labelled."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
-        return {}
+        return None
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.where(draw < share[F.col("lang")]).select("lang", "text")
+
+
+def _bundled(sampled: DataFrame, dim: int) -> dict[str, np.ndarray]:
+    """For each language the unit vectors of both kinds of profiles. The driver gets 2 ``dim`` numbers for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                v = profile(text.as_py(), dim)
+                v = profiles(text.as_py(), dim)
                 if v is not None:
-                    sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v).clip(1e-9)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype(float).tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
+                    sums[lang] = sums.get(lang, 0) + _unit(v)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.ravel().astype(float).tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    parts = rows.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(run, "lang string, v array<double>")
+    parts = sampled.mapInArrow(run, "lang string, v array<double>")
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     found: dict[str, np.ndarray] = {}
     for r in summed.collect():
-        found.setdefault(r["lang"], np.zeros(dim))[r["i"]] = r["x"]
-    unit = {k: v / max(np.linalg.norm(v), 1e-9) for k, v in sorted(found.items())}
+        found.setdefault(r["lang"], np.zeros(2 * dim))[r["i"]] = r["x"]
+    return {k: _unit(v.reshape(2, dim)) for k, v in sorted(found.items())}
+
+
+def _centred(unit: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     mean = np.mean(list(unit.values()), axis=0) if len(unit) > 1 else 0
-    return {k: (v - mean) / max(np.linalg.norm(v - mean), 1e-9) for k, v in unit.items()}
+    return {k: _unit(v - mean) for k, v in unit.items()}
+
+
+def prototypes(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, dim: int = DIM) -> dict[str, np.ndarray]:
+    """A unit vector for each language of ``labelled`` (doc_id, text, lang), centred on their mean.
+
+    Fitted on a sample by hash of the id: about ``sample`` texts of a language at most. The driver gets one count
+    and two vectors of ``dim`` numbers for each language.
+    """
+    sampled = _sampled(labelled, sample)
+    return {} if sampled is None else _centred({k: v[0] for k, v in _bundled(sampled, dim).items()})
+
+
+def _likeness(v: np.ndarray, damped: np.ndarray) -> float:
+    """The largest cosine of a text's damped profile with the prototypes; near 0 where it resembles none, as these are not centred."""
+    return float((damped @ _unit(v[1])).max())
+
+
+def fitted(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, dim: int = DIM) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+    """The prototypes, the damped ones (not centred, one a row), and the likeness to them that a text of a language has at least.
+
+    That bound is the quantile LIKE_QUANTILE of the sampled texts' likeness, within LIKE_BOUNDS. The likeness is to
+    the most similar language, whatever the label, so wrong labels do not lower the bound.
+    """
+    low, high = (x / dim**0.5 for x in LIKE_BOUNDS)
+    sampled = _sampled(labelled, sample)
+    unit = {} if sampled is None else _bundled(sampled, dim)
+    if not unit:
+        return {}, np.zeros((0, dim), np.float32), high
+    damped = np.array([v[1] for v in unit.values()], np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_likeness(v, damped) for t in batch.column(1) if (v := profiles(t.as_py(), dim)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64())], names=["x"])
+
+    bound = sampled.mapInArrow(run, "x double").agg(F.percentile("x", F.lit(LIKE_QUANTILE))).first()[0]
+    return _centred({k: v[0] for k, v in unit.items()}), damped, min(max(bound, low), high)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -109,32 +164,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def predict(docs: DataFrame, model: dict[str, np.ndarray], *keep: str, dim: int = DIM, with_text: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: dict[str, np.ndarray], *keep: str, dim: int = DIM, with_text: bool = False, damped: np.ndarray | None = None) -> DataFrame:
     """doc_id, lang_pred, score, and then the columns ``keep`` as they are: the language of the nearest prototype and its cosine, mapped from -1..1 to 0..1.
 
-    ``with_text`` puts the text behind doc_id; it then passes through the task once, not twice.
+    ``with_text`` puts the text behind doc_id; it then passes through the task once, not twice. ``damped`` (of ``fitted``) puts the
+    likeness to the most similar language behind the score, 0 for ``und``.
 
     ``und`` and 0 for a null text, one without a letter, or an empty model. Ties go to the smaller name. One row for each input row.
     """
     names, matrix = list(model), np.array(list(model.values()), np.float32).reshape(len(model), dim)
+    liked = damped is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, likes = [], [], []
             for t in batch.column(1):
                 t = t.as_py()
-                v = profile(t, dim) if t and names else None
-                if v is None:
+                both = profiles(t, dim) if t and names else None
+                if both is None:
                     langs.append(UND)
                     scores.append(0.0)
+                    likes.append(0.0)
                     continue
+                v = both[0]
+                if damped is not None:
+                    likes.append(_likeness(both, damped))
                 cos = matrix @ v / max(float(np.linalg.norm(v)), 1e-9)
                 k = int(np.argmax(cos))
                 langs.append(names[k])
                 scores.append(min(1.0, max(0.0, (1 + float(cos[k])) / 2)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + with_text], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + with_text], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(likes, pa.float64())] * liked, *batch.columns[2:]], names=schema.names)
 
-    fields = [T.StructField("doc_id", T.LongType()), *[T.StructField("text", T.StringType())] * with_text, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [T.StructField("doc_id", T.LongType()), *[T.StructField("text", T.StringType())] * with_text, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("likeness", T.DoubleType())] * liked]
     schema = T.StructType([*fields, *docs.select(*keep).schema.fields])
     return with_columns(docs, *keep).mapInArrow(run, schema)
 

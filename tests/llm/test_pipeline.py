@@ -1,6 +1,7 @@
 """Each stage of the pipeline against a plain version on its own input, and the whole run on a table."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,15 @@ def test_language_keeps_clean_documents(stages):
     assert len(after) >= 0.99 * len(before) and {r["doc_id"] for r in after} <= {r["doc_id"] for r in before} and list(after[0].asDict()) == COLUMNS
 
 
+def test_language_drops_what_resembles_none(spark):
+    rng = random.Random(3)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz   ", "абвгдежзийклмнопрстуфхцчшщъыьэюя   ", "กขคฆงจฉชซฌญฎฏฐฑฒณดตถทธน   "]
+    junk = [(-1 - i, "".join(rng.choices(letters[i % 4], k=200 + 20 * i)), None) for i in range(20)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    kept = {r["doc_id"] for r in cp.language(spark, docs.unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string")), SF).collect()}
+    assert not [i for i in kept if i < 0] and len(kept) >= 0.99 * docs.count()
+
+
 def test_near_copies(stages):
     before, after = stages[1]
     groups = brute.jaccard([(r["doc_id"], r["text"]) for r in before], 80, 5)
