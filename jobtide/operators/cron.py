@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,9 @@ from jobtide.operators.state import JobState, live
 
 # The range of each field: second, minute, hour, day, month, day of the week (1 is Sunday).
 RANGES = ((0, 59), (0, 59), (0, 23), (1, 31), (1, 12), (1, 7))
+#: How far a next run is looked for: leap days on one day of the week are at most 40 years apart, so what has no run by then has none.
+YEARS = 40
+DAY_MS = 86_400_000
 
 
 def fields(schedule: str) -> list[list[int]]:
@@ -34,10 +38,10 @@ def fields(schedule: str) -> list[list[int]]:
 
 
 def next_run(schedule: str, now: datetime) -> datetime | None:
-    """The first match after ``now`` without its seconds; None within 8 years."""
+    """The first match after ``now`` without its seconds; None within YEARS."""
     seconds, minutes, hours, days, months, weekdays = map(set, fields(schedule))
     base = now.replace(second=0, microsecond=0)
-    day, end = base.replace(hour=0, minute=0), base + timedelta(days=366 * 8)
+    day, end = base.replace(hour=0, minute=0), base + timedelta(days=366 * YEARS)
     while day < end:
         if day.month in months and day.day in days and day.isoweekday() % 7 + 1 in weekdays:
             for h in sorted(hours):
@@ -50,25 +54,37 @@ def next_run(schedule: str, now: datetime) -> datetime | None:
     return None
 
 
-def next_runs(jobs: DataFrame, schedules: list[str], now: Column, hours: int = 25) -> DataFrame:
-    """next_run of each row of (schedule, ...) within ``hours``; null beyond. ``schedules`` are the distinct ones, parsed on the driver.
+def next_runs(jobs: DataFrame, schedules: list[str], now: Column) -> DataFrame:
+    """next_run of each row of (schedule, ...); null where there is none within YEARS. ``schedules`` are the distinct ones, parsed on the driver.
 
-    Only minutes are enumerated; the smallest allowed second belongs to the first matching minute.
+    The rest of the current day is searched first, by hour, minute and second; then the first later day that matches has the smallest of each.
     """
     known = F.create_map(*[x for s in schedules for x in (F.lit(s), F.array(*[F.array(*map(F.lit, v)) for v in fields(s)]))])
-    base = epoch_ms(now) - epoch_ms(now) % 60_000
+    base = epoch_ms(now) - F.pmod(epoch_ms(now), F.lit(60_000))
+    midnight = base - F.pmod(base, F.lit(DAY_MS))
     rows = jobs.withColumn("f", known[F.col("schedule")])
-    candidates = F.sequence(base + 0, base + F.lit(hours * 3_600_000), F.lit(60_000))
-
-    def first(ms: Column) -> Column:
-        at_zero = F.get(F.filter(F.col("f")[0], lambda s: (ms + s * 1000) > base), F.lit(0))
-        return F.when(_of_minute(from_ms(ms)) & at_zero.isNotNull(), ms + at_zero * 1000)
-
-    def _of_minute(t: Column) -> Column:
-        of = lambda k, v: F.array_contains(F.col("f")[k], v.cast("int"))
-        return of(1, F.minute(t)) & of(2, F.hour(t)) & of(3, F.dayofmonth(t)) & of(4, F.month(t)) & of(5, F.dayofweek(t))
-
-    return rows.withColumn("next_run", from_ms(F.array_min(F.transform(candidates, first)))).drop("f")
+    f = [F.col("f")[k] for k in range(len(RANGES))]
+
+    def matches(day: Column) -> Column:
+        t = from_ms(day)
+        return F.array_contains(f[3], F.dayofmonth(t)) & F.array_contains(f[4], F.month(t)) & F.array_contains(f[5], F.dayofweek(t))
+
+    def first(values: Column, test: Callable[[Column], Column]) -> Column:
+        return F.get(F.filter(values, test), F.lit(0))
+
+    def at(day: Column, h: Column, m: Column, s: Column) -> Column:
+        return day + h.cast("long") * 3_600_000 + m.cast("long") * 60_000 + s.cast("long") * 1000
+
+    smallest, largest = [F.array_min(x) for x in f[:3]], [F.array_max(x) for x in f[:3]]
+    # values stand in order: the first hour whose last time is after base, then the first such minute, then the first such second
+    hour = first(f[2], lambda h: at(midnight, h, largest[1], largest[0]) > base)
+    minute = first(f[1], lambda m: at(midnight, hour, m, largest[0]) > base)
+    second = first(f[0], lambda s: at(midnight, hour, minute, s) > base)
+    today = F.when(matches(midnight), at(midnight, hour, minute, second))
+    # the days that next_run looks at: those that begin before base + 366 * YEARS days; most schedules have one within a year
+    days = [F.sequence(midnight + a * DAY_MS, midnight + F.lit(b * DAY_MS), F.lit(DAY_MS)) for a, b in ((1, 366), (367, 366 * YEARS))]
+    later = F.coalesce(*[first(d, lambda d: matches(d) & (d < base + F.lit(366 * YEARS * DAY_MS))) for d in days])
+    return rows.withColumn("next_run", from_ms(F.coalesce(today, at(later, smallest[2], smallest[1], smallest[0])))).drop("f")
 
 
 def fires(schedule: str, begin: datetime, ticks: int, tick_seconds: int = 30) -> list[datetime]:

@@ -133,6 +133,14 @@ def test_cron(spark):
     assert {r["schedule"]: r["next_run"] for r in got} == {x: cron.next_run(x, t) for x in schedules}
 
 
+def test_cron_beyond_a_day(spark):
+    schedules = ["0 0 0 1 1 *", "15 30 6 1 * *", "0 0 9 * * 2", "0 0 12 29 2 *", "30 5 0 29 2 1", "0 0 0 31 2 *", "59 59 23 * * *", "10,50 0,59 0,23 * 1-3 *", "30 * * * * *"]
+    for t in (dt.datetime(2024, 1, 2), dt.datetime(2024, 12, 31, 23, 59, 40), dt.datetime(2097, 1, 1), dt.datetime(1969, 6, 1, 13, 14, 15), dt.datetime(2024, 2, 29, 12)):
+        got = cron.next_runs(spark.createDataFrame([(x,) for x in schedules], "schedule string"), schedules, F.lit(str(t)).cast("timestamp_ntz")).collect()
+        assert {r["schedule"]: r["next_run"] for r in got} == {x: cron.next_run(x, t) for x in schedules}
+    assert cron.next_run("30 5 0 29 2 1", dt.datetime(2024, 1, 2)) == dt.datetime(2032, 2, 29, 0, 5, 30)
+
+
 def test_handlers():
     r = handlers.examples()
     with pytest.raises(ValueError):
