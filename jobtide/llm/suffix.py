@@ -4,7 +4,8 @@ Each window of ``length`` bytes has an anchor: the k-gram in it with the smalles
 have equal anchors at equal offsets, so windows only have to be compared within the group of an anchor's content. The
 windows of one anchor occurrence form a span of bytes. Spans of equal content repeat as a whole; that needs no bytes. The
 remaining spans of a group that holds several contents are brought together, their suffixes are sorted, and backward extension on the
-transform sets the common prefixes by increasing value up to the length; neighbours that it never sets apart repeat.
+transform sets the common prefixes by increasing value up to the length; neighbours that it never sets apart repeat. Groups of very
+many spans are not brought together: the hashes of their windows are counted.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +27,10 @@ LENGTH = 200
 UNIT = 4_000_000
 #: Bytes of spans whose suffixes are sorted together.
 CHUNK_BYTES = 1_500_000
-#: Spans of a group beyond this number are dealt by longer shared strings.
+#: Spans of a group beyond this number are compared by counts of their windows' hashes.
 HOT_SPANS = 20_000
-HOT_PARTS = 4
+#: Bytes of spans whose windows are hashed together.
+HASH_BYTES = 1_000_000
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -185,32 +188,70 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, content long, t long, span long")
 
 
-def _contexts(rows: DataFrame, length: int) -> DataFrame:
-    """(t, text, marks) to (key, t, start, bytes): the bytes of each span, those of hot groups dealt by longer shared strings."""
+def _contexts(rows: DataFrame) -> DataFrame:
+    """(t, text, marks) to (key, t, start, bytes): the bytes of each span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for t, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 data = text.as_py().encode()
-                for s in spans:
-                    a, size, at = s["start"], s["size"], s["start"] + s["offset"]
-                    if not s["hot"]:
-                        out.append((s["anchor"], t, a, data[a : a + size]))
-                        continue
-                    step = -(-(length // 2 + 1) // HOT_PARTS)
-                    for j in range(HOT_PARTS):  # windows whose start is j * step to (j + 1) * step bytes before the anchor
-                        lo, hi = max(a, at - (j + 1) * step + 1), min(a + size - length, at - j * step)
-                        if lo <= hi:
-                            core = data[at - j * step : at - (j + 1) * step + 1 + length]
-                            key = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=bytes([j])).digest(), "little", signed=True)
-                            out.append((key, t, lo, data[lo : hi + length]))
+                out += [(s["anchor"], t, s["start"], data[s["start"] : s["start"] + s["size"]]) for s in spans]
             columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["key", "t", "start", "bytes"])
 
     return rows.mapInArrow(run, "key long, t long, start long, bytes binary")
 
 
+def _windows(contexts: DataFrame, length: int) -> DataFrame:
+    """(hash, t, start, i) of the i-th window of each span."""
+
+    def solve(t: list[int], start: list[int], parts: list[bytes]) -> pa.RecordBatch:
+        sizes = np.array([len(p) for p in parts], np.int64)
+        count = sizes - length + 1
+        at = ragged(np.cumsum(sizes) - sizes, count)
+        h = Stretches(np.frombuffer(b"".join(parts), np.uint8)).hashes(at, at + length)
+        columns = [signed(h), np.repeat(np.array(t, np.int64), count), np.repeat(np.array(start, np.int64), count), ragged(np.zeros(len(count), np.int64), count)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "t", "start", "i"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, start, parts, size = [], [], [], 0
+        for batch in batches:
+            for _, x, s, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t.append(x)
+                start.append(s)
+                parts.append(data)
+                size += len(data)
+                if size > HASH_BYTES:
+                    yield solve(t, start, parts)
+                    t, start, parts, size = [], [], [], 0
+        if parts:
+            yield solve(t, start, parts)
+
+    return contexts.mapInArrow(run, "hash long, t long, start long, i long")
+
+
+def _counted(contexts: DataFrame, length: int) -> DataFrame:
+    """_compared for spans of hot groups. Counts combine before the shuffle and a common window is joined by adaptive skew handling, so no task holds a group."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            count, i = pa.compute.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(count)), count)
+            new, last = np.ones(len(i), bool), np.ones(len(i), bool)
+            new[1:] = (i[1:] != i[:-1] + 1) | (row[1:] != row[:-1])
+            last[:-1] = new[1:]
+            row = row[new]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(b.column(1).to_numpy()[row] + i[new]), pa.array(i[last] - i[new] + length)], names=["t", "start", "size"])
+
+    windows = written(_windows(contexts, length))
+    # copies of a text bring equal windows, and these do repeat
+    common = windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    found = windows.join(common, "hash").groupBy("t", "start").agg(F.sort_array(F.collect_set("i")).alias("found"))
+    return found.mapInArrow(merge, "t long, start long, size long")
+
+
 def _compared(contexts: DataFrame, length: int) -> DataFrame:
     """(t, start, size) of the repeated stretches among the spans of each key."""
 
@@ -271,9 +312,15 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     compared = (F.col("low") != F.col("high")) & (F.col("singles") > 0) & ((F.col("own") == 1) | (F.col("lead") == F.struct("t", "span")))
     rows = written(rows.select("anchor", "t", "span", "n", (F.col("own") > 1).alias("whole"), compared.alias("compared")))
     whole = rows.where("whole").select("t", *_unpacked(F.col("span"), length))
-    wanted = rows.where("compared").select("t", F.struct("anchor", *_unpacked(F.col("span"), length)[:3], (F.col("n") > HOT_SPANS).alias("hot")).alias("mark"))
-    contexts = _contexts(_at_texts(texts, wanted, "inner").select("t", "text", "marks"), length)
-    found = whole.select("t", "start", "size", "again").unionByName(_compared(contexts, length).withColumn("again", F.lit(0).cast("long")))
+    hot, found = F.col("n") > HOT_SPANS, whole.select("t", "start", "size", "again")
+
+    def contexts(of: Column) -> DataFrame:
+        wanted = rows.where("compared").where(of).select("t", F.struct("anchor", *_unpacked(F.col("span"), length)[:2]).alias("mark"))
+        return _contexts(_at_texts(texts, wanted, "inner").select("t", "text", "marks"))
+
+    found = found.unionByName(_compared(contexts(~hot), length).withColumn("again", F.lit(0).cast("long")))
+    if rows.where("compared").where(hot).limit(1).count():
+        found = found.unionByName(_counted(contexts(hot), length).withColumn("again", F.lit(0).cast("long")))
     return found.select("t", F.shiftleft("start", 24).bitwiseOR(F.shiftleft("size", 1)).bitwiseOR(F.col("again")).alias("mark"))
 
 
@@ -283,7 +330,7 @@ def cleaned(docs: DataFrame, *keep: str, length: int = LENGTH, keep_text: bool =
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the remaining bytes, and with
     ``keep_text`` the remaining text (kept), without characters that lost some of their bytes; then the columns ``keep`` as they are. One row for each input row; a null text counts as
     empty; strings never reach across texts; all is judged on the input. Copies of a text are removed as a whole in each row, if long enough.
-    Strings are compared as bytes where contents differ and by 64-bit hashes where whole spans are equal.
+    Strings are compared as bytes where contents differ and by 64-bit hashes where whole spans are equal or a group is hot.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("t"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(keep)])

@@ -94,6 +94,22 @@ def test_suffix(spark, corpus, monkeypatch):
     assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in kept)
 
 
+def test_suffix_of_a_common_passage(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    word = lambda n: "".join(r.choice(list("abcdefghij klmnopé"), n))
+    passage = word(420)
+    docs = [(i, word(150) + passage[: 420 - i % 7] + word(150)) for i in range(90)]
+    docs += [(100, docs[0][1]), (101, word(300)), (102, passage[:205] * 2)]
+    contexts = []
+    compared = suffix._compared
+    monkeypatch.setattr(suffix, "HOT_SPANS", 20)
+    monkeypatch.setattr(suffix, "HASH_BYTES", 3000, raising=False)
+    monkeypatch.setattr(suffix, "_compared", lambda c, length: contexts.append(c) or compared(c, length))
+    assert {tuple(x) for x in suffix.cleaned(frame(spark, docs)).collect()} == brute.suffix(docs)
+    # no task brings a hot group together
+    assert all(x["count"] <= suffix.HOT_SPANS for c in contexts for x in c.groupBy("key").count().collect())
+
+
 def test_repeated_positions():
     r = np.random.default_rng(1)
     for n, sigma in ((60, 2), (400, 3), (3000, 4)):
