@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, discard, documents, mix, scratch, signed, written
@@ -136,16 +136,25 @@ def _may_link(n1: np.ndarray, s1: np.ndarray, n2: np.ndarray, s2: np.ndarray, pe
     return (apart <= most_apart(n1 + n2, percent)) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
 
 
-def describe(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, sid, sketch) of every text; sid, the identity of the set, is null where the set is empty."""
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's id and text; null for a null id."""
+    return F.when(docs["doc_id"].isNotNull(), F.xxhash64(docs["doc_id"], docs["text"]))
+
+
+def describe(docs: DataFrame, words: int, keyed: bool = False) -> DataFrame:
+    """(doc_id, n, sid, sketch) of every text and with ``keyed`` its row_key; sid, the identity of the set, is null where the set is empty."""
+    if keyed:
+        docs = docs.select(F.struct("doc_id", row_key(docs).alias("row_key")), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in blocks(batches, SET_CHARS):
             s = shingle_sets(texts, words)
             sid = pa.array(signed(s.identity), mask=s.sizes == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s.sizes.astype(np.int64)), sid, pa.array([r.tobytes() for r in sketches(s)], pa.binary())], names=["doc_id", "n", "sid", "sketch"])
+            keys = [pa.array([i["row_key"] for i in ids], pa.int64())] if keyed else []
+            ids = [i["doc_id"] for i in ids] if keyed else ids
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s.sizes.astype(np.int64)), sid, pa.array([r.tobytes() for r in sketches(s)], pa.binary()), *keys], names=["doc_id", "n", "sid", "sketch", *["row_key"] * keyed])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sid long, sketch binary" + ", row_key long" * keyed)
 
 
 def index(docs: DataFrame, percent: int, words: int) -> DataFrame:
@@ -203,15 +212,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
     return links
 
 
-def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, keyed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each input row.
 
     Two documents link when 100 * intersection >= percent * union of their sets of distinct ``words``-word shingles. A
     null or empty text, or one without words, has no shingles and links with nothing. component_id is the smallest id reachable by links, itself
-    included; of equal ids all rows share it, a null id stays null. Shingles are compared by 64-bit hashes.
+    included; rows of equal ids and different sets may differ in it, a null id stays null. ``keyed`` adds the row_key. Shingles are compared by 64-bit hashes.
     """
     docs = documents(docs)
-    described = written(describe(docs, words))
+    described = written(describe(docs, words, keyed))
     classes = written(described.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     group = Window.partitionBy("sig")
@@ -286,6 +295,6 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4) -> Da
     joined = classes.select("sid", "rep").join(label, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = joined.join(smallest, "component").select("sid", "component_id")
-    out = described.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(ids, "sid", "left")
-    # rows that share an id share its component
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = described.select("doc_id", F.col("n").alias("n_shingles"), "sid", *["row_key"] * keyed).join(ids, "sid", "left")
+    # links are between sets, so rows that share an id share a component only where their sets do
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *["row_key"] * keyed)

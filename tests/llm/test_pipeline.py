@@ -49,6 +49,13 @@ def test_near_copies(stages):
     assert {r["doc_id"]: r["text"] for r in after}.items() <= {r["doc_id"]: r["text"] for r in before}.items()
 
 
+def test_near_copies_of_texts_that_share_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (5, a + " end"), (5, b), (7, b + " end"), (8, "some other text of no group")]
+    kept = cp.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [rows[0], rows[2], rows[4]]
+
+
 def test_repeats(stages):
     before, after = stages[2]
     want = {i: h for i, *_, h in brute.suffix([(r["doc_id"], r["text"]) for r in before])}
