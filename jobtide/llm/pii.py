@@ -74,6 +74,19 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, last))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """A proposed span may reach over words behind a number: the longest one that ends with a word and passes the checksum counts."""
+    m = _IBAN.search(text)
+    while m:
+        a, b = m.span()
+        while b > a and 15 <= len(s := text[a:b].replace(" ", "")) and not (len(s) <= 34 and mod97(s)):
+            b = text.rfind(" ", a, b)
+        found = b > a and len(s) >= 15
+        if found:
+            yield a, b
+        m = _IBAN.search(text, b if found else a + 1)
+
+
 def find(text: str) -> list[tuple[str, int, int, float]]:
     """Spans (kind, start, end, score) by kind and then start; positions count code points, the end is exclusive."""
     spans: list[tuple[str, int, int]] = [("email", a, b) for a, b in _emails(text)]
@@ -86,9 +99,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
                 spans.append(("card", m.start(), m.end()))
         if "+" in text:
             spans += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
-        for m in _IBAN.finditer(text):
-            if 15 <= len(s := m[0].replace(" ", "")) <= 34 and mod97(s):
-                spans.append(("iban", m.start(), m.end()))
+        spans += [("iban", a, b) for a, b in _ibans(text)]
         spans += [("ssn", m.start(), m.end()) for m in _SSN.finditer(text, at)]
     out = []
     for kind, a, b in spans:

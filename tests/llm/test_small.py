@@ -94,6 +94,16 @@ def test_suffix(spark, corpus, monkeypatch):
     assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in kept)
 
 
+def test_iban_before_other_words():
+    number = "DE89 3704 0044 0532 0130 00"
+    for text in ("IBAN {} BIC X", "{} EUR 500", "AB12 TO ACCOUNT {} OK", "{} {}", "{},{} GB82WEST12345698765432 1", "{}", "pay {} now"):
+        text = text.replace("{}", number)
+        found = [text[a:b] for k, a, b, _ in pii.find(text) if k == "iban"]
+        assert found == [number] * text.count(number) + ["GB82WEST12345698765432"] * text.count("GB82")
+    for text in ("DE89 3704 0044 0532 0130 01 BIC X", "DE89 3704 0044", "AB12 " + "WORDS " * 50):
+        assert "iban" not in [k for k, *_ in pii.find(text)]
+
+
 def test_suffix_of_a_common_passage(spark, monkeypatch):
     r = np.random.default_rng(5)
     word = lambda n: "".join(r.choice(list("abcdefghij klmnopé"), n))
