@@ -21,17 +21,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets a temporary one; on a cluster that is an error, as executors would write to their own disks.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="jobtide-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+#: Paths given out by ``scratch`` and not deleted yet, in order.
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/jobtide/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/jobtide/{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def made() -> list[str]:
+    """The paths of written tables that have not been discarded."""
+    return list(_made)
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -50,6 +66,8 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         where = jvm.org.apache.hadoop.fs.Path(p)
         where.getFileSystem(conf).delete(where, True)
+        if p in _made:
+            _made.remove(p)
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,7 +127,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Stretches:
-    """64-bit content hashes of stretches of an integer array, from prefix sums."""
+    """64-bit content hashes of stretches of an integer array, from prefix sums.
+
+    A polynomial modulo 2**64: stretches may overlap, but from about 1,000 symbols on there are different ones of equal hash
+    (a Thue-Morse string and its complement), so it is only for shorter stretches.
+    """
 
     def __init__(self, codes: np.ndarray):
         p, self.inverse = powers(len(codes) + 1)
@@ -124,6 +146,30 @@ class Stretches:
         return mix(x + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
+def word_hashes(codes: np.ndarray, at: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of words codes[at:end] that do not overlap: each symbol is mixed with its place in the word, so no pattern of symbols cancels out."""
+    n = end - at
+    where = ragged(at, n)
+    place = (where - np.repeat(at, n)).astype(np.uint64)
+    v = mix(codes[where].astype(np.uint64) + (place + np.uint64(1 + seed)) * np.uint64(0x9E3779B97F4A7C15))
+    sums = np.zeros(len(v) + 1, np.uint64)
+    np.cumsum(v, out=sums[1:])
+    last = np.cumsum(n)
+    return mix(sums[last] - sums[last - n] + n.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+def like_leader(codes: np.ndarray, at: np.ndarray, end: np.ndarray, leader: np.ndarray) -> np.ndarray:
+    """Whether each word codes[at:end] is, symbol by symbol, the word number ``leader``; no word is empty."""
+    n = end - at
+    same = n == n[leader]
+    check = np.flatnonzero(same & (leader != np.arange(len(at))))
+    if len(check):
+        m = n[check]
+        equal = codes[ragged(at[check], m)] == codes[ragged(at[leader[check]], m)]
+        same[check] = np.logical_and.reduceat(equal, np.cumsum(m) - m)
+    return same
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit hashes as the long values that Spark holds."""
     return x.view(np.int64)
@@ -157,19 +203,25 @@ class WordStore:
         self.flat.extend(ids)
         return k
 
+    def _numbers(self, joined: str, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        known, add = self.known, self._add
+        ks = np.empty(len(at), np.int64)
+        for j, (a, b) in enumerate(zip(at.tolist(), end.tolist(), strict=True)):
+            w = joined[a:b]
+            k = known.get(w)
+            ks[j] = add(w) if k is None else k
+        return ks
+
     def ids(self, joined: str, codes: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each word joined[at:end], and all ids; codes are the code points of ``joined``."""
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0, np.uint32)
         if len(self.known) > self.most:
             self.clear()
-        _, index, inverse = np.unique(Stretches(codes).hashes(at, end), return_index=True, return_inverse=True)
-        known, add = self.known, self._add
-        ks = np.empty(len(index), np.int64)
-        for j, (a, b) in enumerate(zip(at[index].tolist(), end[index].tolist(), strict=True)):
-            w = joined[a:b]
-            k = known.get(w)
-            ks[j] = add(w) if k is None else k
-        ks = ks[inverse]
+        _, index, inverse = np.unique(word_hashes(codes, at, end), return_index=True, return_inverse=True)
+        ks = self._numbers(joined, at[index], end[index])[inverse]
+        # words of one hash are one word only if their symbols are
+        other = np.flatnonzero(~like_leader(codes, at, end, index[inverse]))
+        ks[other] = self._numbers(joined, at[other], end[other])
         count = np.array(self.count, np.int64)[ks]
         return count, np.array(self.flat, np.uint32)[ragged(np.array(self.first, np.int64)[ks], count)]

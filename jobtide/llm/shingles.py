@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .common import Stretches, mix
+from .common import mix, word_hashes
 
 _PLACE = [np.uint64(x | 1) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)]
 
@@ -18,8 +18,9 @@ class Sets:
     owner: np.ndarray
     hashes: np.ndarray
     sizes: np.ndarray
-    #: One 64-bit identity for each text's set; equal sets have equal ones.
+    #: 128 bits that identify each text's set, in two halves; equal sets have equal ones.
     identity: np.ndarray
+    check: np.ndarray
 
     def of(self, i: int) -> np.ndarray:
         ends = np.cumsum(self.sizes)
@@ -41,7 +42,7 @@ def shingle_sets(texts: list[str], words: int = 4) -> Sets:
     start, end = word_bounds(codes)
     first = np.cumsum([0] + [len(t) + 1 for t in texts])
     owner = np.searchsorted(first, start, side="right") - 1
-    h = Stretches(codes).hashes(start, end)
+    h = word_hashes(codes, start, end)
     count = np.bincount(owner, minlength=len(texts))[: len(texts)]
     begin = np.cumsum(count) - count
     n = np.where(count >= words, count - words + 1, (count > 0).astype(np.int64))
@@ -60,6 +61,10 @@ def shingle_sets(texts: list[str], words: int = 4) -> Sets:
     new[1:] = (value[1:] != value[:-1]) | (who[1:] != who[:-1])
     value, who = value[new], who[new]
     sizes = np.bincount(who, minlength=len(texts))[: len(texts)]
-    total = np.zeros(len(texts), np.uint64)
-    np.add.at(total, who, mix(value ^ np.uint64(0x5851F42D4C957F2D)))
-    return Sets(who, value, sizes, mix(total + sizes.astype(np.uint64)))
+    halves = []
+    for salt in (0x5851F42D4C957F2D, 0x2127599BF4325C37):
+        sums = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(mix(value ^ np.uint64(salt)), out=sums[1:])
+        ends = np.cumsum(sizes)
+        halves.append(mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64)))
+    return Sets(who, value, sizes, *halves)
