@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from jobtide.llm import jaccard, knn, langid, licenses, neardup, packing, pieces, pii, suffix, tokens
+from jobtide.llm import jaccard, knn, langid, licenses, neardup, packing, pieces, pii, shingles, suffix, tokens
 from tests.llm import brute
 
 BPE, SP = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -83,6 +83,56 @@ def test_jaccard_many_near_copies(spark):
     assert {tuple(r) for r in jaccard.jaccard_components(frame(spark, docs)).collect()} == brute.jaccard(docs)
 
 
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    texts = []
+    for n in (1024, 2048, 4096):
+        a, b = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+        texts += [a, b, f"{a}\n{b}", f"{a} {b} {a}"]
+    docs = list(enumerate(texts))
+    bpe, sp = Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=SP)
+    want = {i: bpe.encode(t, add_special_tokens=False).ids for i, t in docs}
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(frame(spark, docs), BPE).collect()} == {i: len(x) for i, x in want.items()}
+    for r in packing.pack_documents(frame(spark, docs), BPE).collect():
+        assert np.frombuffer(r["ids"], np.uint32).tolist() == [*want[r["doc_id"]], 1][r["start"] : r["start"] + r["length"]]
+    for r in pieces.encode_pieces(frame(spark, docs), SP).collect():
+        assert np.frombuffer(r["ids"], np.uint32).tolist() == sp.encode(dict(docs)[r["doc_id"]])
+    long = docs + [(90 + i, " ".join([x] + [f"w{k}" for k in range(3)])) for i, x in enumerate(texts[:2])]
+    assert {tuple(r) for r in jaccard.jaccard_components(frame(spark, long)).collect()} == brute.jaccard(long)
+
+
+def test_words_of_one_hash_are_compared_by_their_symbols(monkeypatch):
+    monkeypatch.setattr("jobtide.llm.common.word_hashes", lambda codes, at, end: (end - at).astype(np.uint64))
+    e = tokens.Encoder(BPE)
+    text = "some words of one length are many when none has more than four or five letters " * 3
+    assert e.encode([text])[0].tolist() == e.library.encode(text, add_special_tokens=False).ids
+
+
+def test_jaccard_by_any_plan_and_hot_signatures(spark, corpus, monkeypatch):
+    docs = [d for d in corpus if d[0] is not None]
+    want = brute.jaccard(docs, 80, 3)
+    most = max(map(len, jaccard.bands(80)[1]))
+    for k in range(most):  # every number of doubled segments
+        monkeypatch.setattr(jaccard, "measured_plans", lambda docs, rows, percent, words, k=k: jaccard.plan_table(percent, dict.fromkeys(range(400), k)))
+        monkeypatch.setattr(jaccard, "HOT_SEEN", 3 if k % 2 else 10**6)
+        assert {tuple(r) for r in jaccard.jaccard_components(frame(spark, docs), 80, 3).collect()} == want
+
+
+def test_jaccard_sets_whose_first_halves_agree(spark, corpus, monkeypatch):
+    docs = [d for d in corpus if d[0] is not None]
+
+    def halved(texts, words):
+        s = shingles.shingle_sets(texts, words)
+        return shingles.Sets(s.owner, s.hashes, s.sizes, s.identity % np.uint64(17), s.check)
+
+    monkeypatch.setattr(jaccard, "shingle_sets", halved)
+    # with so few first halves every set meets every other through them
+    assert {tuple(r) for r in jaccard.jaccard_components(frame(spark, docs)).collect()} == brute.jaccard(docs)
+
+
 def test_suffix(spark, corpus, monkeypatch):
     docs = [d for d in corpus if d[0] is not None]
     expected = brute.suffix(docs)
