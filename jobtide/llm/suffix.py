@@ -2,10 +2,12 @@
 
 Each window of ``length`` bytes has an anchor: the k-gram in it with the smallest hash, the last of equals. Equal windows
 have equal anchors at equal offsets, so windows only have to be compared within the group of an anchor's content. The
-windows of one anchor occurrence form a span of bytes. Spans of equal content repeat as a whole; that needs no bytes. The
-remaining spans of a group that holds several contents are brought together, their suffixes are sorted, and backward extension on the
-transform sets the common prefixes by increasing value up to the length; neighbours that it never sets apart repeat. Groups of very
-many spans are not brought together: the hashes of their windows are counted.
+windows of one anchor occurrence form a span of bytes. Spans of equal content repeat as a whole; that needs no bytes. One span of each
+content of a group that holds several is brought together, their suffixes are sorted, and backward extension on the
+transform sets the common prefixes by increasing value up to the length; neighbours that it never sets apart repeat. A group of more
+contents than a task should hold is not brought together: the hashes of its windows are counted, which combines before the shuffle.
+
+Anchors that only one span has are left out first, by counts that combine before the shuffle; no window or list ever holds a group.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +29,8 @@ LENGTH = 200
 UNIT = 4_000_000
 #: Bytes of spans whose suffixes are sorted together.
 CHUNK_BYTES = 1_500_000
-#: Spans of a group beyond this number are compared by counts of their windows' hashes.
-HOT_SPANS = 20_000
+#: Groups of more contents are compared by counts of their windows' hashes. The results are the same; a task then holds at most so many spans of a group.
+HOT_SPANS = 1_000
 #: Bytes of spans whose windows are hashed together.
 HASH_BYTES = 1_000_000
 _POSITION = np.uint64((1 << 24) - 1)
@@ -172,63 +174,93 @@ def _unpacked(p: Column, length: int) -> list[Column]:
     return [F.shiftright(p, 24).alias("start"), (F.shiftright(p, 13).bitwiseAND(2047) + length).alias("size"), F.shiftright(p, 1).bitwiseAND(4095).alias("offset"), p.bitwiseAND(1).alias("again")]
 
 
+def _hashed(texts: list[bytes], keys: list[dict], length: int) -> tuple[Spans, list[dict], np.ndarray]:
+    """Spans of the distinct texts, these texts' keys, and how often each text stands here."""
+    first: dict[tuple[int, int], int] = {}
+    count: list[int] = []
+    one: list[int] = []
+    for i, k in enumerate(keys):
+        at = first.setdefault((k["t"], k["u"]), len(one))
+        if at == len(one):
+            one.append(i)
+            count.append(0)
+        count[at] += 1
+    return Spans([texts[i] for i in one], length), [keys[i] for i in one], np.array(count, np.int64)
+
+
+def _keyed(texts: DataFrame) -> DataFrame:
+    return texts.select(F.struct("t", "u"), "text")
+
+
+def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
+    """(anchor) of the anchors that more than one span has. Each task counts its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, values in blocks(batches, 1_000_000):
+            s, _, count = _hashed([v.encode() for v in values], keys, length)
+            anchor, inverse = np.unique(s.anchor, return_inverse=True)
+            weight = np.bincount(inverse, weights=count[s.text], minlength=len(anchor))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(np.minimum(weight, 2).astype(np.int8))], names=["anchor", "n"])
+
+    return _keyed(texts).mapInArrow(run, "anchor long, n byte").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+
+
 def anchors(texts: DataFrame, length: int) -> DataFrame:
-    """(anchor, content, text, span) of every span of (text hash, text); copies within a block of texts count as one that repeats."""
+    """(anchor, content, t, u, span) of every span of (t, u, text); copies within a block of texts count as one that repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, values in blocks(batches, 1_000_000):
-            keys = np.array(keys, np.int64)
-            keys, first, count = np.unique(keys, return_index=True, return_counts=True)
-            s = Spans([values[i].encode() for i in first], length)
+            s, keys, count = _hashed([v.encode() for v in values], keys, length)
             one, again = s.once()
             again = again | (count > 1)[s.text[one]]
             packed = _packed(s.start[one], s.size[one], s.offset[one], again.astype(np.int64), length)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(s.anchor[one])), pa.array(signed(s.content[one])), pa.array(keys[s.text[one]]), pa.array(packed)], names=["anchor", "content", "t", "span"])
+            t, u = (np.array([k[c] for k in keys], np.int64)[s.text[one]] for c in "tu")
+            yield pa.RecordBatch.from_arrays([pa.array(signed(s.anchor[one])), pa.array(signed(s.content[one])), pa.array(t), pa.array(u), pa.array(packed)], names=["anchor", "content", "t", "u", "span"])
 
-    return texts.mapInArrow(run, "anchor long, content long, t long, span long")
+    return _keyed(texts).mapInArrow(run, "anchor long, content long, t long, u long, span long")
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
-    """(t, text, marks) to (key, t, start, bytes): the bytes of each span."""
+    """(t, u, text, marks) to (key, t, u, start, bytes): the bytes of each span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for t, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for t, u, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 data = text.as_py().encode()
-                out += [(s["anchor"], t, s["start"], data[s["start"] : s["start"] + s["size"]]) for s in spans]
-            columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["key", "t", "start", "bytes"])
+                out += [(s["anchor"], t, u, s["start"], data[s["start"] : s["start"] + s["size"]]) for s in spans]
+            columns = list(zip(*out, strict=True)) if out else [(), (), (), (), ()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["key", "t", "u", "start", "bytes"])
 
-    return rows.mapInArrow(run, "key long, t long, start long, bytes binary")
+    return rows.mapInArrow(run, "key long, t long, u long, start long, bytes binary")
 
 
 def _windows(contexts: DataFrame, length: int) -> DataFrame:
-    """(hash, t, start, i) of the i-th window of each span."""
+    """(hash, t, u, start, i) of the i-th window of each span."""
 
-    def solve(t: list[int], start: list[int], parts: list[bytes]) -> pa.RecordBatch:
+    def solve(t: list[int], u: list[int], start: list[int], parts: list[bytes]) -> pa.RecordBatch:
         sizes = np.array([len(p) for p in parts], np.int64)
         count = sizes - length + 1
         at = ragged(np.cumsum(sizes) - sizes, count)
         h = Stretches(np.frombuffer(b"".join(parts), np.uint8)).hashes(at, at + length)
-        columns = [signed(h), np.repeat(np.array(t, np.int64), count), np.repeat(np.array(start, np.int64), count), ragged(np.zeros(len(count), np.int64), count)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "t", "start", "i"])
+        columns = [signed(h), *(np.repeat(np.array(c, np.int64), count) for c in (t, u, start)), ragged(np.zeros(len(count), np.int64), count)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "t", "u", "start", "i"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, start, parts, size = [], [], [], 0
+        lists: list[list] = [[], [], [], []]
+        size = 0
         for batch in batches:
-            for _, x, s, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t.append(x)
-                start.append(s)
-                parts.append(data)
-                size += len(data)
+            for _, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for held, x in zip(lists, row, strict=True):
+                    held.append(x)
+                size += len(row[-1])
                 if size > HASH_BYTES:
-                    yield solve(t, start, parts)
-                    t, start, parts, size = [], [], [], 0
-        if parts:
-            yield solve(t, start, parts)
+                    yield solve(*lists)
+                    lists, size = [[], [], [], []], 0
+        if size:
+            yield solve(*lists)
 
-    return contexts.mapInArrow(run, "hash long, t long, start long, i long")
+    return contexts.mapInArrow(run, "hash long, t long, u long, start long, i long")
 
 
 def _counted(contexts: DataFrame, length: int) -> DataFrame:
@@ -236,26 +268,27 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(2)
+            lists = b.column(3)
             count, i = pa.compute.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
             row = np.repeat(np.arange(len(count)), count)
             new, last = np.ones(len(i), bool), np.ones(len(i), bool)
             new[1:] = (i[1:] != i[:-1] + 1) | (row[1:] != row[:-1])
             last[:-1] = new[1:]
             row = row[new]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(b.column(1).to_numpy()[row] + i[new]), pa.array(i[last] - i[new] + length)], names=["t", "start", "size"])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(b.column(2).to_numpy()[row] + i[new]), pa.array(i[last] - i[new] + length)], names=["t", "u", "start", "size"])
 
     windows = written(_windows(contexts, length))
     # copies of a text bring equal windows, and these do repeat
     common = windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    found = windows.join(common, "hash").groupBy("t", "start").agg(F.sort_array(F.collect_set("i")).alias("found"))
-    return found.mapInArrow(merge, "t long, start long, size long")
+    found = windows.join(written(common), "hash").groupBy("t", "u", "start").agg(F.sort_array(F.collect_set("i")).alias("found"))
+    return found.mapInArrow(merge, "t long, u long, start long, size long")
 
 
 def _compared(contexts: DataFrame, length: int) -> DataFrame:
-    """(t, start, size) of the repeated stretches among the spans of each key."""
+    """(t, u, start, size) of the repeated stretches among the spans of each key."""
 
-    def solve(t: list[int], start: list[int], parts: list[bytes]) -> pa.RecordBatch:
+    def solve(t: list[int], u: list[int], start: list[int], parts: list[bytes]) -> pa.RecordBatch:
         codes = np.frombuffer(b"\x00".join(parts) + b"\x00\x00", np.uint8).astype(np.int64) + 2
         sizes = np.array([len(p) for p in parts], np.int64)
         first = np.cumsum(sizes + 1) - sizes - 1
@@ -267,61 +300,62 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
         a, b = _runs(found & ok)
         part = np.searchsorted(first, a, side="right") - 1
         # runs of windows never reach from one span to the next: a span's last window ends at its last byte
-        ts, ss = np.array(t, np.int64)[part], np.array(start, np.int64)[part] + a - first[part]
-        return pa.RecordBatch.from_arrays([pa.array(ts), pa.array(ss), pa.array(b - a + length - 1)], names=["t", "start", "size"])
+        ts, us, ss = (np.array(c, np.int64)[part] for c in (t, u, start))
+        return pa.RecordBatch.from_arrays([pa.array(ts), pa.array(us), pa.array(ss + a - first[part]), pa.array(b - a + length - 1)], names=["t", "u", "start", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, start, parts, size, last, seen = [], [], [], 0, None, set()
+        lists: list[list] = [[], [], [], []]
+        size, last = 0, None
+        seen: set[tuple] = set()
         for batch in batches:
-            for k, x, s, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != last and size > CHUNK_BYTES:
-                    yield solve(t, start, parts)
-                    t, start, parts, size = [], [], [], 0
+                    yield solve(*lists)
+                    lists, size = [[], [], [], []], 0
                 if k != last:
                     seen.clear()
                 last = k
-                if (x, s) in seen:  # copies of a text bring the same spans
+                if tuple(row[:3]) in seen:  # copies of a text bring the same spans
                     continue
-                seen.add((x, s))
-                t.append(x)
-                start.append(s)
-                parts.append(data)
-                size += len(data) + 1
-        if parts:
-            yield solve(t, start, parts)
+                seen.add(tuple(row[:3]))
+                for held, x in zip(lists, row, strict=True):
+                    held.append(x)
+                size += len(row[-1]) + 1
+        if size:
+            yield solve(*lists)
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "t long, start long, size long")
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "t long, u long, start long, size long")
 
 
 def _at_texts(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """The set of ``rows``' values by text joined to the texts. Copies of a text bring equal rows, which count once."""
-    return texts.join(rows.groupBy("t").agg(F.collect_set("mark").alias("marks")), "t", how)
+    return texts.join(rows.groupBy("t", "u").agg(F.collect_set("mark").alias("marks")), ["t", "u"], how)
 
 
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(t, mark): stretches of the texts (t, text) that repeated strings cover; mark holds start, size and a last bit.
+    """(t, u, mark): stretches of the texts (t, u, text) that repeated strings cover; mark holds start, size and a last bit.
 
     Where the bit is set the text may have the same content again itself; of such contents only the first stretch is given.
     """
-    by_anchor, by_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
     again = F.col("span").bitwiseAND(1)
-    rows = anchors(texts, length).withColumns({"low": F.min("content").over(by_anchor), "high": F.max("content").over(by_anchor), "n": F.count("*").over(by_anchor), "weight": F.sum(1 + again).over(by_anchor)}).where("weight > 1")
-    rows = rows.withColumns({"own": F.sum(1 + again).over(by_content), "lead": F.min(F.struct("t", "span")).over(by_content)})
-    rows = rows.withColumn("singles", F.count_if(F.col("own") == 1).over(by_anchor))
+    heads = written(shared_anchors(texts, length))
+    rows = written(anchors(texts, length).join(heads.hint("shuffle_hash"), "anchor", "left_semi"))
+    contents = written(rows.groupBy("anchor", "content").agg(F.sum(1 + again).alias("own"), F.min(F.struct("t", "u", "span")).alias("lead")))
+    whole = rows.join(contents.where("own > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
+    found = whole.select("t", "u", *_unpacked(F.col("span"), length)).select("t", "u", "start", "size", "again")
     # a group of one content, or of contents that all have several members, has nothing left to compare
-    compared = (F.col("low") != F.col("high")) & (F.col("singles") > 0) & ((F.col("own") == 1) | (F.col("lead") == F.struct("t", "span")))
-    rows = written(rows.select("anchor", "t", "span", "n", (F.col("own") > 1).alias("whole"), compared.alias("compared")))
-    whole = rows.where("whole").select("t", *_unpacked(F.col("span"), length))
-    hot, found = F.col("n") > HOT_SPANS, whole.select("t", "start", "size", "again")
+    groups = contents.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if(F.col("own") == 1).alias("singles")).where("n > 1 and singles > 0")
+    compared = written(contents.join(groups.select("anchor", "n"), "anchor").select("anchor", "n", "lead.*"))
 
     def contexts(of: Column) -> DataFrame:
-        wanted = rows.where("compared").where(of).select("t", F.struct("anchor", *_unpacked(F.col("span"), length)[:2]).alias("mark"))
-        return _contexts(_at_texts(texts, wanted, "inner").select("t", "text", "marks"))
+        wanted = compared.where(of).select("t", "u", F.struct("anchor", *_unpacked(F.col("span"), length)[:2]).alias("mark"))
+        return _contexts(_at_texts(texts, wanted, "inner").select("t", "u", "text", "marks"))
 
-    found = found.unionByName(_compared(contexts(~hot), length).withColumn("again", F.lit(0).cast("long")))
-    if rows.where("compared").where(hot).limit(1).count():
-        found = found.unionByName(_counted(contexts(hot), length).withColumn("again", F.lit(0).cast("long")))
-    return found.select("t", F.shiftleft("start", 24).bitwiseOR(F.shiftleft("size", 1)).bitwiseOR(F.col("again")).alias("mark"))
+    hot, none = F.col("n") > HOT_SPANS, F.lit(0).cast("long")
+    found = found.unionByName(_compared(contexts(~hot), length).withColumn("again", none))
+    if compared.where(hot).limit(1).count():
+        found = found.unionByName(_counted(contexts(hot), length).withColumn("again", none))
+    return found.select("t", "u", F.shiftleft("start", 24).bitwiseOR(F.shiftleft("size", 1)).bitwiseOR(F.col("again")).alias("mark"))
 
 
 def cleaned(docs: DataFrame, *keep: str, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
@@ -330,11 +364,12 @@ def cleaned(docs: DataFrame, *keep: str, length: int = LENGTH, keep_text: bool =
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the remaining bytes, and with
     ``keep_text`` the remaining text (kept), without characters that lost some of their bytes; then the columns ``keep`` as they are. One row for each input row; a null text counts as
     empty; strings never reach across texts; all is judged on the input. Copies of a text are removed as a whole in each row, if long enough.
-    Strings are compared as bytes where contents differ and by 64-bit hashes where whole spans are equal or a group is hot.
+    Texts are told apart by 128 bits. Strings are compared as bytes where contents differ; whole spans of equal anchors, and windows of hot
+    groups, by 64-bit hashes of at most 2 * ``length`` bytes.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("t"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(keep)])
-    marks = written(repeats(rows.select("t", "text"), length))
+    rows = docs.select(F.xxhash64(text).alias("t"), F.xxhash64(F.lit("u"), text).alias("u"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(keep)])
+    marks = written(repeats(rows.select("t", "u", "text"), length))
 
     def own_repeats(x: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Spans whose content the text has more than once."""
