@@ -96,6 +96,29 @@ def blocks(batches: Iterator[pa.RecordBatch], chars: int = BLOCK_CHARS) -> Itera
         yield ids, texts
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key, rows) for each run of rows that agree in the first ``keys`` columns, which are integers; a run ends with its batch."""
+    for b in batches:
+        if b.num_rows:
+            k = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(keys)])
+            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                yield tuple(k[:, lo].tolist()), b.slice(lo, hi - lo)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key, rows) for each group of sorted rows; a group is held, so its size must be bounded."""
+    last, held = None, []
+    for key, part in runs(batches, keys):
+        if held and key != last:
+            yield last, pa.concat_batches(held)
+            held = []
+        last = key
+        held.append(part)
+    if held:
+        yield last, pa.concat_batches(held)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole word."""
     x = x.astype(np.uint64, copy=True)

@@ -1,8 +1,9 @@
 """Exact top-k search by a Voronoi join.
 
-Pivots divide queries and data into groups. Summaries give each query group a score that its k-th best is never below,
-and each vector a score that it never exceeds for the group; a vector goes only to the query groups where
-that bound lets it in. Each (block of queries, block of data) is solved by itself, and the best of all blocks are merged.
+Pivots divide queries and data into cells. A summary of each cell (rows, radius, largest norm) bounds the scores it can hold:
+for a query q and a cell with centre c and radius r no score exceeds q.c + |q| r. A query is solved in one block of its own cell first; the
+k-th score found there is one that its answer is never below, so it is then sent only to the blocks of cells whose bound reaches that score.
+Data vectors are shuffled once, queries as often as bounds demand; each block is solved locally and the best of all blocks are merged.
 """
 
 from __future__ import annotations
@@ -10,33 +11,68 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .vectors import matrix, rows_of, sampled, usable
+from .common import ragged, runs, written
+from .vectors import matrix, sampled, usable
 
-#: Queries and data vectors that meet in one task at most, about; larger groups are cut by a hash of the id.
-QUERY_BLOCK, DATA_BLOCK = 1024, 16_384
-MAX_PIVOTS, PIVOT_SAMPLE = 64, 2048
+#: Data vectors that stand in one block at most, about; larger cells are cut by a hash of the id. Queries stream past a block.
+DATA_BLOCK = 32_768
+#: Vectors of a cell, on average, as long as there are fewer than MAX_PIVOTS cells; the pivots are fitted on PIVOT_SAMPLE vectors.
+CELL_ROWS, MAX_PIVOTS, PIVOT_SAMPLE = 4096, 256, 4096
+#: Rows of scores that a task holds at once.
+QUERY_ROWS = 128
 
 
-def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
-    """Farthest-first pivots of a bounded sample."""
+def _pivots(sample: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """Centres of a bounded sample: spread out first, then moved to the mean of their vectors, which makes the cells' radii small."""
+    rng = np.random.default_rng(5)
     chosen = [0]
     d = ((sample - sample[0]) ** 2).sum(1)
-    while len(chosen) < min(n, len(sample)):
-        chosen.append(int(d.argmax()))
+    while len(chosen) < min(n, len(sample)) and d.sum() > 0:
+        chosen.append(int(rng.choice(len(sample), p=d / d.sum())))
         d = np.minimum(d, ((sample - sample[chosen[-1]]) ** 2).sum(1))
-    return sample[chosen]
+    centres = sample[chosen]
+    for _ in range(rounds):
+        g, _ = _nearest(sample, centres)
+        size = np.bincount(g, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, g, sample)
+        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
+    return centres
 
 
 def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = np.maximum((x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1), 0)
     g = d.argmin(1)
-    return g, np.sqrt(d[np.arange(len(x)), g])
+    # the distance itself is taken from the difference, as the squares above lose digits
+    return g, np.linalg.norm(x - pivots[g], axis=1)
+
+
+def _packed(x: np.ndarray, kind: str) -> pa.Array:
+    return pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
+
+
+def _unpacked(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
+
+
+def _solve(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, vector ids, scores) of the k best of the block for some queries at a time."""
+    for at in range(0, len(queries), QUERY_ROWS):
+        scores = queries[at : at + QUERY_ROWS] @ data.T
+        scores[own[at : at + QUERY_ROWS, None] == ids] = -np.inf
+        n = scores.shape[1]
+        edge = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+        row, col = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
+        s = scores[row, col]
+        order = np.lexsort((ids[col], -s, row))
+        row, col, s = row[order], col[order], s[order]
+        first = np.searchsorted(row, row)
+        best = np.arange(len(row)) - first < k
+        yield own[at + row[best]], ids[col[best]], s[best]
 
 
 def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, query_step: int = 20) -> DataFrame:
@@ -44,78 +80,74 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, query_step: int
 
     Queries are the vectors whose id ``query_step`` divides; candidates are all vectors with another id. Null ids, null vectors,
     null or non-finite components and vectors of another length than most take no part. Rows
-    that repeat id and vector count once. Exact while scores stay below 2**53. Empty tables give no rows.
+    that repeat id and vector count once. Exact while scores stay below 2**53. Empty tables give no rows; other columns, whatever their names, are left out.
+
+    A block holds at most about DATA_BLOCK vectors, queries pass it in Arrow batches, and the driver gets one row for each of at most MAX_PIVOTS cells.
     """
-    rows = usable(vectors).withColumn("x", F.transform("embedding", lambda x: F.floor(x * scale).cast("double"))).select("vec_id", "x").distinct()
-    rows = written(rows)
+    spark = vectors.sparkSession
+    rows = written(usable(vectors).withColumn("x", F.transform("embedding", lambda x: F.floor(x * scale).cast("double"))).select("vec_id", "x").distinct())
     is_query = F.col("vec_id") % query_step == 0
-    n_data, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    n_data, n_queries, most = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.array_max(F.transform("x", F.abs)))).first()
     if not n_queries:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    pivots = _pivots(sampled(rows, "x", PIVOT_SAMPLE), max(2, min(MAX_PIVOTS, -(-n_queries // (QUERY_BLOCK // 2)))))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    kind = next((t for t, top in (("<i1", 127), ("<i2", 32767), ("<i4", 2**31 - 1)) if most <= top), "<f8")
+    pivots = _pivots(sampled(rows, "x", PIVOT_SAMPLE), max(2, min(MAX_PIVOTS, n_data // CELL_ROWS)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                g, d = _nearest(matrix(b.column(1)), pivots)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(g.astype(np.int32)), pa.array(d)], names=["vec_id", "x", "g", "d"])
-
-    queries = rows.where(is_query).mapInArrow(assign, "vec_id long, x array<double>, g int, d double")
-    summary = {r["g"]: (r["n"], r["r"]) for r in queries.groupBy("g").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()}
-    groups = np.array(sorted(summary), np.int64)
-    centre, radius = pivots[groups], np.array([summary[g][1] for g in groups.tolist()])
-
-    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each query group the k + 1 largest scores that vectors of this task reach for sure; one of them may be the query's own."""
-        best = np.full((0, len(groups)), -np.inf)
-        for b in batches:
-            x = matrix(b.column(1))
-            if len(x):
-                low = x @ centre.T - np.linalg.norm(x, axis=1)[:, None] * radius
-                best = np.sort(np.concatenate([best, low]), axis=0)[-(k + 1) :]
-        m = len(best)
-        yield pa.RecordBatch.from_arrays([pa.array(np.tile(groups, m).astype(np.int32)), pa.array(best.reshape(-1))], names=["g", "low"])
-
-    lows = rows.mapInArrow(floors, "g int, low double").withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("low"))))
-    floor = {r["g"]: r["low"] for r in lows.where(F.col("at") <= k + 1).groupBy("g").agg(F.min("low").alias("low"), F.count("*").alias("n")).where(F.col("n") > k).collect()}
-    least = np.array([floor.get(g, -np.inf) for g in groups.tolist()]) - 1e-6
-
-    q_blocks = np.array([-(-summary[g][0] // QUERY_BLOCK) for g in groups.tolist()])
-    d_blocks = -(-n_data // DATA_BLOCK)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A vector to each query block whose bound it can reach."""
+                x = matrix(b.column(1))
+                g, d = _nearest(x, pivots)
+                yield pa.RecordBatch.from_arrays([b.column(0), _packed(x, kind), pa.array(g.astype(np.int32)), pa.array(d), pa.array(np.linalg.norm(x, axis=1))], names=["vec_id", "x", "g", "d", "norm"])
+
+    cells = written(rows.mapInArrow(assign, "vec_id long, x binary, g int, d double, norm double"))
+    summary = cells.groupBy("g").agg(F.count("*").alias("n"), F.max("d").alias("r"), F.max("norm").alias("norm")).orderBy("g").collect()
+    cell = np.array([r["g"] for r in summary])
+    centre, radius, norm = pivots[cell], *(np.array([r[c] for r in summary]) for c in ("r", "norm"))
+    n_blocks = np.array([-(-r["n"] // DATA_BLOCK) for r in summary])
+    first_block = np.cumsum(n_blocks) - n_blocks
+    place = F.create_map(*[F.lit(int(v)) for g, n, f in zip(cell, n_blocks, first_block, strict=True) for v in (g, f << 20 | n)])[F.col("g")]
+    block = F.shiftright(place, 20) + F.pmod(F.xxhash64("vec_id", F.lit(11)), place.bitwiseAND((1 << 20) - 1))
+    cells = cells.withColumn("block", block.cast("int"))
+    data = cells.select("block", F.lit(0).alias("turn"), "vec_id", "x")
+    queries = cells.where(is_query)
+    found_schema = "query_id long, vec_id long, score long"
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's vectors come before its queries; they are held, the queries pass."""
+        at, parts, ids, held = None, [], [], None
+        for (number, turn), b in runs(batches, 2):
+            if number != at:
+                at, parts, ids, held = number, [], [], None
+            x, i = _unpacked(b.column(3), kind), b.column(2).to_numpy()
+            if turn == 0:
+                parts.append(x)
+                ids.append(i)
+            elif parts:
+                held = (np.concatenate(parts), np.concatenate(ids)) if held is None else held
+                for q, v, s in _solve(x, i, *held, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s.astype(np.int64))], names=["query_id", "vec_id", "score"])
+
+    def solved(asked: DataFrame) -> DataFrame:
+        return data.unionByName(asked).repartition("block").sortWithinPartitions("block", "turn").mapInArrow(solve, found_schema)
+
+    near = written(solved(queries.select("block", F.lit(1).alias("turn"), "vec_id", "x")))
+    floor = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "least")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query to each block that its bound reaches but the one where it has been."""
         for b in batches:
-            x = matrix(b.column(1))
-            if not len(x):
+            if not b.num_rows:
                 continue
-            reach = x @ centre.T + np.linalg.norm(x, axis=1)[:, None] * radius >= least
-            at, g = np.nonzero(reach)
-            n = q_blocks[g]
-            row, group = np.repeat(at, n), np.repeat(g, n)
-            block = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), rows_of(x[row]), pa.array(groups[group].astype(np.int32)), pa.array(block.astype(np.int32))], names=["vec_id", "x", "g", "qb"])
-
-    salt = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(11)), n).cast("int")
-    data = rows.mapInArrow(place, "vec_id long, x array<double>, g int, qb int").withColumn("db", salt(F.lit(d_blocks)))
-    per_group = F.create_map(*[F.lit(int(v)) for g, n in zip(groups, q_blocks, strict=True) for v in (g, n)])
-    queries = queries.withColumn("qb", salt(per_group[F.col("g")])).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1)))).drop("d")
-
-    def solve(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        found: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
-        if len(q) and len(d):
-            a, b = np.stack(q["x"].to_numpy()), np.stack(d["x"].to_numpy())
-            own, ids = q["vec_id"].to_numpy(), d["vec_id"].to_numpy()
-            for at in range(0, len(a), 256):
-                scores = a[at : at + 256] @ b.T
-                scores[own[at : at + 256, None] == ids] = -np.inf
-                for i, s in enumerate(scores):
-                    edge = np.partition(s, len(s) - k)[-k] if len(s) > k else -np.inf
-                    c = np.flatnonzero((s >= edge) & (s > -np.inf))
-                    c = c[np.lexsort((ids[c], -s[c]))[:k]]
-                    found.append(np.stack([np.full(len(c), own[at + i]), ids[c], s[c].astype(np.int64)]))
-        return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["query_id", "vec_id", "score"])
-
-    parts = queries.groupBy("g", "qb", "db").cogroup(data.groupBy("g", "qb", "db")).applyInPandas(solve, "query_id long, vec_id long, score long")
+            x, least = _unpacked(b.column(1), kind), b.column(3).to_numpy(zero_copy_only=False)
+            length = np.linalg.norm(x, axis=1)[:, None]
+            bound = np.minimum(x @ centre.T + length * radius, length * norm) * (1 + 1e-12) + 1e-6
+            row, c = np.nonzero(bound >= np.where(np.isnan(least), -np.inf, least)[:, None])
+            number, row = ragged(first_block[c], n_blocks[c]), np.repeat(row, n_blocks[c])
+            other = number != b.column(2).to_numpy()[row]
+            at = pa.array(row[other])
+            yield pa.RecordBatch.from_arrays([pa.array(number[other].astype(np.int32)), pa.array(np.ones(len(at), np.int32)), b.column(0).take(at), b.column(1).take(at)], names=["block", "turn", "vec_id", "x"])
+
+    asked = queries.select("vec_id", "x", "block").join(floor, "vec_id", "left").mapInArrow(send, "block int, turn int, vec_id long, x binary")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.unionByName(solved(asked)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,28 +1,37 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
 Each tree splits recursively by random directions at the median. Vectors within a margin of the threshold go to both
-sides (spill), so that a close pair is seldom parted in a tree and almost never in all. Vectors are compared within leaves only, in
+sides (spill), so that a close pair is seldom parted in a tree and almost never in all. The upper levels are fitted on a bounded sample of all
+vectors; leaves that are too large for it are split further, each on a bounded sample of its own, until they fit. Vectors are compared within leaves only, in
 double precision near the threshold, and joined to components.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, groups, runs, scratch, written
 from .components import components
 from .vectors import matrix, sampled, usable
 
 THRESHOLD = 0.95
 #: The trees are fitted on so many vectors at most; every vector is indexed.
 SAMPLE = 16_384
-TREES, LEAF_ROWS = 5, 768
+TREES, LEAF_ROWS = 5, 160
+#: Leaves of more than SPLIT times LEAF_ROWS vectors are split again, on about LEAF_SAMPLE of their own vectors; a task splits PART_ROWS of a leaf's rows.
+SPLIT, LEAF_SAMPLE, PART_ROWS = 4, 2048, 100_000
+#: Rounds of splitting, each of up to about a hundred parts; leaves that are too large even then are compared block by block.
+ROUNDS = 4
+#: More than the leaves of the upper levels; each round's leaves have numbers of their own.
+FIRST_LEAVES = 1 << 20
 #: A margin in units of the spread that a random direction sees between a pair at the threshold.
 MARGIN = 0.45
 #: Rows of a leaf that meet at once; a larger leaf is compared block by block.
@@ -105,6 +114,54 @@ def _labels(mask: np.ndarray) -> np.ndarray:
     return label
 
 
+def _lists(row: np.ndarray, leaf: np.ndarray, n: int) -> pa.Array:
+    """The sorted leaves of each of n rows."""
+    order = np.lexsort((leaf, row))
+    ends = np.cumsum(np.bincount(row, minlength=n))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(leaf[order].astype(np.int64)))
+
+
+def _split(routed: DataFrame, theta: float, leaf_rows: int) -> DataFrame:
+    """``routed`` with the leaves of more than SPLIT * ``leaf_rows`` vectors split again; a leaf too tight to split gets a negative number and stays."""
+    spark, dim = routed.sparkSession, routed.schema["embedding"].dataType.simpleString()
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        leaf, n = int(g["leaf"].iloc[0]), int(g["n"].iloc[0])
+        x = _unit(np.stack(g["embedding"].to_numpy()).astype(np.float64))
+        tree = Tree(x, n, np.random.default_rng(leaf), 0, theta, leaf_rows)
+        return pd.DataFrame({"leaf": [leaf], "tree": [pickle.dumps(tree)]})
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A part of a leaf: its tree comes first, then its rows pass."""
+        tree = None
+        for (leaf, _, turn), b in runs(batches, 3):
+            if turn == 0:
+                tree = pickle.loads(b.column(5)[0].as_py())
+                continue
+            row, child = tree.route(_unit(matrix(b.column(4))))
+            child = (leaf + FIRST_LEAVES) * 1024 + child if tree.leaves > 1 else np.full(len(row), -leaf - 1)
+            yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(row)), pa.array(child.astype(np.int64))], names=["vec_id", "leaf"])
+
+    for _ in range(ROUNDS):
+        placed = routed.select("vec_id", "embedding", F.explode("leaves").alias("leaf"))
+        paths = [scratch(spark) for _ in range(3)]
+        large = written(placed.groupBy("leaf").agg(F.count("*").alias("n")).where((F.col("n") > SPLIT * leaf_rows) & (F.col("leaf") >= 0)), paths[0])
+        if not large.limit(1).count():
+            discard(spark, paths[0])
+            return routed
+        share = F.pmod(F.xxhash64("vec_id", "leaf"), F.ceil(F.col("n") / LEAF_SAMPLE))
+        trees = written(placed.join(large, "leaf").where(share == 0).select("leaf", "n", "embedding").groupBy("leaf").applyInPandas(fit, "leaf long, tree binary"), paths[1])
+        parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
+        head = trees.join(large, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("turn"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast(dim).alias("embedding"), "tree")
+        body = placed.join(large, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part"), F.lit(1).alias("turn"), "vec_id", "embedding", F.lit(None).cast("binary").alias("tree"))
+        moved = written(head.unionByName(body).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "turn").mapInArrow(route, "vec_id long, leaf long"), paths[2])
+        stayed = placed.select("vec_id", "leaf").join(large, "leaf", "left_anti").select("vec_id", "leaf")
+        leaves = stayed.unionByName(moved).groupBy("vec_id").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
+        routed = written(routed.drop("leaves").join(leaves, "vec_id"))
+        discard(spark, *paths)
+    return routed
+
+
 def near_duplicates(vectors: DataFrame, theta: float = THRESHOLD, sample: int = SAMPLE, trees: int = TREES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each input row.
 
@@ -126,53 +183,53 @@ def near_duplicates(vectors: DataFrame, theta: float = THRESHOLD, sample: int =
                 continue
             x = _unit(matrix(batch.column(2)))
             row, leaf = map(np.concatenate, zip(*[t.route(x) for t in forest], strict=True))
-            order = np.lexsort((leaf, row))
-            row, leaf = row[order], leaf[order].astype(np.int32)
-            ends = np.cumsum(np.bincount(row, minlength=len(x)))
-            every = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(leaf))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), every], names=["vec_id", "copies", "embedding", "leaves"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _lists(row, leaf, len(x))], names=["vec_id", "copies", "embedding", "leaves"])
 
     # the driver's vectors are single precision: they are sent as such and made double again
     single = classes.select("vec_id", "copies", F.col("embedding").cast("array<float>").alias("embedding"))
     exact = classes.where(F.exists("embedding", lambda x: x != x.cast("float").cast("double"))).limit(1).count() == 0
     rows = single if exact else classes.select("vec_id", "copies", "embedding")
     kind = "float" if exact else "double"
-    routed = written(rows.mapInArrow(route, f"vec_id long, copies long, embedding array<{kind}>, leaves array<int>"))
+    routed = _split(written(rows.mapInArrow(route, f"vec_id long, copies long, embedding array<{kind}>, leaves array<long>")), theta, leaf_rows)
 
     placed = routed.select("*", F.explode("leaves").alias("leaf"))
     blocks = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1")
     placed = placed.join(blocks, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other", "blocks")
-
-    def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        leaf, x, y = key
-        ids, copies = g["vec_id"].to_numpy(), g["copies"].to_numpy()
-        unit = _unit(np.stack(g["embedding"].to_numpy()).astype(np.float64))
-        left, right = (np.flatnonzero(g["own"].to_numpy() == k) for k in (x, y))
-        mask = np.zeros((len(ids), len(ids)), bool)
-        mask[np.ix_(left, right)] = linked(unit[left], unit[right], theta)
-        mask |= mask.T
-        np.fill_diagonal(mask, False)
-        some = np.flatnonzero(mask.any(1))
-        if not len(some):
-            return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-        mask, ids, copies = mask[np.ix_(some, some)], ids[some], copies[some]
-        label = _labels(mask)
-        root = pd.Series(ids).groupby(label).transform("min").to_numpy()
-        # a pair counts in the first of its common leaves only
-        lists = [np.asarray(v) for v in g["leaves"].to_numpy()[some]]
-        row, earlier = np.repeat(np.arange(len(some)), [len(v) for v in lists]), np.concatenate(lists)
-        row, earlier = row[earlier < leaf], earlier[earlier < leaf]
-        if len(row):
-            _, column = np.unique(earlier, return_inverse=True)
-            held = np.zeros((len(some), column.max() + 1), np.float32)
-            held[row, column] = 1
-            mask = mask & (held @ held.T == 0)
-        return pd.DataFrame({"vec_id": ids, "links": mask @ copies, "root": root})
-
-    found = written(placed.groupBy("leaf", "x", "y").applyInPandas(compare, "vec_id long, links long, root long"))
+    placed = placed.select("leaf", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "vec_id", "copies", "embedding", "leaves")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (leaf, x, y), g in groups(batches, 3):
+            own, ids, copies = (g.column(i).to_numpy() for i in (3, 4, 5))
+            unit = _unit(matrix(g.column(6)))
+            left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+            near = linked(unit[left], unit[right], theta)
+            some = np.unique(np.concatenate([left[near.any(1)], right[near.any(0)]]))
+            place = np.full(len(ids), -1)
+            place[some] = np.arange(len(some))
+            mask = np.zeros((len(some), len(some)), bool)
+            mask[np.ix_(place[left[near.any(1)]], place[right[near.any(0)]])] = near[np.ix_(near.any(1), near.any(0))]
+            mask |= mask.T
+            np.fill_diagonal(mask, False)
+            linking = mask.any(1)
+            mask, some = mask[np.ix_(linking, linking)], some[linking]
+            if not len(some):
+                continue
+            ids, copies = ids[some], copies[some]
+            root = pd.Series(ids).groupby(_labels(mask)).transform("min").to_numpy()
+            # a pair counts in the first of its common leaves only
+            lists = g.column(7).take(pa.array(some))
+            row, earlier = np.repeat(np.arange(len(some)), pa.compute.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
+            row, earlier = row[earlier < leaf], earlier[earlier < leaf]
+            if len(row):
+                _, column = np.unique(earlier, return_inverse=True)
+                held = np.zeros((len(some), column.max() + 1), np.float32)
+                held[row, column] = 1
+                mask = mask & (held @ held.T == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(mask @ copies), pa.array(root)], names=["vec_id", "links", "root"])
+
+    found = written(placed.repartition("leaf", "x", "y").sortWithinPartitions("leaf", "x", "y").mapInArrow(compare, "vec_id long, links long, root long"))
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     told = classes.join(links, "vec_id", "left").join(joined.withColumnRenamed("node", "vec_id"), "vec_id", "left")
