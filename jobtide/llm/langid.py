@@ -1,7 +1,7 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. The vector of an n-gram binds (multiplies) its letters' vectors, each
-permuted by its place. A text's profile bundles (adds) its n-grams' vectors; a language's prototype bundles
+Every letter, that is every lower-case code point, has a random vector of +1 and -1 by a seeded hash, held as bits. The vector of an n-gram binds (multiplies;
+for bits, exclusive or) its letters' vectors, each permuted by its place. A text's profile bundles (adds) its n-grams' vectors; a language's prototype bundles
 the profiles of its labelled texts. A text has the language whose prototype has the largest cosine.
 """
 
@@ -17,42 +17,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_columns
+from .common import mix, with_columns
 
 DIM, GRAM, SEED = 512, 3, 20
-#: The prototypes are fitted on about so many labelled texts of a language at most, chosen by a hash of the id.
-SAMPLE_PER_LANGUAGE = 1000
+#: The prototypes are fitted on about so many labelled texts of a language at most, chosen by a hash of the id, and for so many of the most frequent
+#: languages at most: the model stands in memory.
+SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 1000, 1000
 #: A text of a language is at least as like a prototype as this share of the labelled texts is not. Chance gives unrelated texts a cosine of
 #: about 1 / sqrt(DIM); the bound stays within these multiples of it, as few labelled texts are all too like the prototypes they make.
 LIKE_QUANTILE, LIKE_BOUNDS = 0.005, (4.0, 8.0)
-#: Code points from here on share the vectors of their remainder modulo LETTERS.
-LETTERS = 1024
 UND = "und"
 
 
 @lru_cache(1)
-def _letters() -> np.ndarray:
-    """For each code point of the basic plane the number of its lower-case letter; 0 for what is no letter."""
-    table = np.zeros(0x110000, np.int16)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point the number of its lower-case letter, 0 for what is no letter; and each number's code point."""
+    table, number = np.zeros(0x110000, np.int32), {0: 0}
     for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
-            low = ch.lower()
-            low = unicodedata.normalize("NFC", low)[0] if low else ch
-            table[c] = 1 + ord(low) % (LETTERS - 1)
-    return table
+            low = unicodedata.normalize("NFC", ch.lower() or ch)[0]
+            table[c] = number.setdefault(ord(low), len(number))
+    return table, np.array(list(number), np.uint64)
+
+
+@lru_cache(4)
+def letter_bits(dim: int) -> np.ndarray:
+    """The vector of each letter as ``dim`` bits (1 for -1) in words of 64, by a hash of its code point and the word's place."""
+    points, words = _letters()[1], np.arange(dim // 64, dtype=np.uint64)
+    return mix(mix(points[:, None] + np.uint64(SEED << 32)) + (words + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def permuted(bits: np.ndarray, place: int) -> np.ndarray:
+    """The vectors' components moved on by 64 * ``place``."""
+    return np.roll(bits, place, axis=-1)
 
 
 @lru_cache(4)
 def _vectors(dim: int, gram: int) -> list[np.ndarray]:
-    """For each place of an n-gram the letters' vectors, permuted (rotated) by the place."""
-    base = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (LETTERS, dim))
-    return [np.ascontiguousarray(np.roll(base, gram - 1 - k, axis=1)) for k in range(gram)]
+    return [np.ascontiguousarray(permuted(letter_bits(dim), gram - 1 - k)) for k in range(gram)]
 
 
-def profiles(text: str, dim: int = DIM, gram: int = GRAM) -> np.ndarray | None:
-    """Two bundled vectors of a whole text, each n-gram by its count and by the root of it; None if it has no letter. Runs of non-letters count as one gap."""
-    code = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+def grams_of(text: str, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray] | None:
+    """The distinct n-grams of letter numbers (one a row) and their counts; None without a letter. Runs of non-letters count as one gap, also at both ends."""
+    code = _letters()[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
     if not code.any():
         return None
     code = np.concatenate([[0], code, [0]])
@@ -62,17 +70,27 @@ def profiles(text: str, dim: int = DIM, gram: int = GRAM) -> np.ndarray | None:
         code = np.concatenate([code, np.zeros(gram - len(code), np.int64)])
     key = np.zeros(len(code) - gram + 1, np.int64)
     for k in range(gram):
-        key = key * LETTERS + code[k : len(code) - gram + 1 + k]
-    grams, count = np.unique(key, return_counts=True)
+        key = key << 18 | code[k : len(code) - gram + 1 + k]
+    key, count = np.unique(key, return_counts=True)
+    return np.stack([key >> 18 * (gram - 1 - k) & (1 << 18) - 1 for k in range(gram)], axis=1), count
+
+
+def profiles(text: str, dim: int = DIM, gram: int = GRAM) -> np.ndarray | None:
+    """Two bundled vectors of a whole text, each n-gram by its count and by the root of it; None if it has no letter."""
+    found = grams_of(text, gram)
+    if found is None:
+        return None
+    grams, count = found
     total = np.zeros((2, dim), np.float32)
     weights = np.stack([count, np.sqrt(count)]).astype(np.float32)
     for a in range(0, len(grams), 4096):  # a bounded matrix, however many n-grams a text has
         part, bound = grams[a : a + 4096], None
-        for k in reversed(range(gram)):
-            v = _vectors(dim, gram)[k][part % LETTERS]
-            bound = v if bound is None else bound * v
-            part = part // LETTERS
-        total += weights[:, a : a + 4096] @ bound
+        for k in range(gram):
+            v = _vectors(dim, gram)[k][part[:, k]]
+            bound = v if bound is None else bound ^ v
+        bits = np.unpackbits(bound.view(np.uint8), axis=1).astype(np.float32)
+        w = weights[:, a : a + 4096]
+        total += w.sum(1, keepdims=True) - 2 * (w @ bits)
     return total
 
 
@@ -89,7 +107,8 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def _sampled(labelled: DataFrame, sample: int) -> DataFrame | None:
     """(lang, text) of about ``sample`` texts of a language at most, by a hash of the id; None if no row is labelled."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # the most frequent languages: a bounded number of rows reaches the driver
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return None
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
@@ -126,7 +145,7 @@ def prototypes(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, dim: int
     """A unit vector for each language of ``labelled`` (doc_id, text, lang), centred on their mean.
 
     Fitted on a sample by hash of the id: about ``sample`` texts of a language at most. The driver gets one count
-    and two vectors of ``dim`` numbers for each language.
+    and two vectors of ``dim`` numbers for each of the MOST_LANGUAGES most frequent languages; others are never predicted.
     """
     sampled = _sampled(labelled, sample)
     return {} if sampled is None else _centred({k: v[0] for k, v in _bundled(sampled, dim).items()})
@@ -203,7 +222,9 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], *keep: str, dim: int
 def identify(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of all rows of (doc_id, text, lang); fitted on the rows that aren't held out.
 
-    Null ids are neither fitted on nor held out. Empty tables give no rows. lang, source and the id are no inputs of a prediction.
+    One row for each input row: repeated rows get equal results, and equal texts equal predictions. Null ids are neither fitted on nor held out. A null
+    text or one without a letter is ``und`` with score 0. Texts are read whole, however long, in bounded memory. Empty tables give no rows. lang,
+    source and the id are no inputs of a prediction; other columns, whatever their names, are left out.
     """
     model = prototypes(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))), sample)
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

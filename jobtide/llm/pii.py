@@ -28,10 +28,10 @@ _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9
 
 #: Words that make a kind more likely within CONTEXT characters before or after a span.
 CONTEXT_WORDS = {
-    "email": ("mail", "contact", "write", "address"),
+    "email": ("mail", "email", "contact", "write", "address"),
     "ip": ("ip", "host", "server", "address", "login"),
     "card": ("card", "visa", "credit", "payment", "mastercard"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security"),
 }
@@ -40,7 +40,7 @@ BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "
 BONUS = 0.3
 #: Kinds without a checksum of their own count only from this score on; the base kinds always count.
 THRESHOLD = 0.5
-_NEAR = {k: re.compile(rf"(?<![a-z])(?:{'|'.join(w)})", re.ASCII | re.IGNORECASE) for k, w in CONTEXT_WORDS.items()}
+_NEAR = {k: re.compile(rf"(?<![a-z])(?:{'|'.join(w)})(?![a-z])", re.ASCII | re.IGNORECASE) for k, w in CONTEXT_WORDS.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -87,6 +87,12 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
         m = _IBAN.search(text, b if found else a + 1)
 
 
+def _mentions(words: re.Pattern, text: str, lo: int, hi: int) -> bool:
+    """Whether a context word stands within text[lo:hi]; one that the end cuts off does not count."""
+    m = words.search(text, max(0, lo), hi)
+    return m is not None and not (m.end() == hi and text[hi : hi + 1].isascii() and text[hi : hi + 1].isalpha())
+
+
 def find(text: str) -> list[tuple[str, int, int, float]]:
     """Spans (kind, start, end, score) by kind and then start; positions count code points, the end is exclusive."""
     spans: list[tuple[str, int, int]] = [("email", a, b) for a, b in _emails(text)]
@@ -104,7 +110,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     out = []
     for kind, a, b in spans:
         near = _NEAR[kind]
-        score = BASE_SCORE[kind] + (BONUS if near.search(text, max(0, a - CONTEXT), a) or near.search(text, b, b + CONTEXT) else 0)
+        score = BASE_SCORE[kind] + (BONUS if _mentions(near, text, a - CONTEXT, a) or _mentions(near, text, b, b + CONTEXT) else 0)
         if kind in BASE_KINDS or score >= THRESHOLD:
             out.append((kind, a, b, min(1.0, score)))
     return out
@@ -130,8 +136,8 @@ _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 def find_pii(docs: DataFrame, *keep: str, redacted: bool = False) -> DataFrame:
     """doc_id and spans, an array of (kind, start, end, score) in the order of KINDS and then start; then the columns ``keep`` as they are.
 
-    With ``redacted`` also the redacted text. One row for each input row; a null or empty text has no spans and
-    becomes the empty text; a null id stays null. Every pattern is linear in the text, however long. No shuffle.
+    With ``redacted`` also the redacted text. One row for each input row, repeated rows included; a null or empty text has no spans and
+    becomes the empty text; a null id stays null; an empty table gives no rows. Columns of other names, also ``spans`` or ``redacted``, do not clash unless kept. Every pattern is linear in the text, however long. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +159,8 @@ def listed(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the SHA-256 of their list, and the list of all spans."""
+    """Counts of the base kinds, the SHA-256 of their list, the list of all spans, and the spans' scores in that order."""
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     base = of(*BASE_KINDS)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))
