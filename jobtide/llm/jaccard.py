@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, documents, mix, scratch, signed, written
+from .common import blocks, discard, documents, groups, mix, scratch, signed, written
 from .components import components
 from .shingles import Sets, shingle_sets
 
@@ -285,10 +285,10 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, keyed
     named = classes.select("sid", "node").join(label, "node", "left").select(F.col("sid").alias("half"), F.col("node").alias("sid"), F.coalesce("component", "node").alias("component"))
     placed_path, group_path = scratch(spark), scratch(spark)
     placed = written(shared.join(named, shared["sid"] == named["half"]).select("sig", named["sid"], "component"), placed_path)
-    groups = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("members")).where("low != high")
+    parted = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("members")).where("low != high")
     # groups of the same members are looked at once
-    groups = written(groups.groupBy("members", "size").agg(F.min("sig").alias("sig")).select("sig", "size"), group_path)
-    open_ = placed.join(groups, "sig")
+    parted = written(parted.groupBy("members", "size").agg(F.min("sig").alias("sig")).select("sig", "size"), group_path)
+    open_ = placed.join(parted, "sig")
     nb = F.ceil(F.col("size") / BLOCK_SETS).cast("int")
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("sid"), nb).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
     open_ = open_.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "sid", "component")
@@ -298,35 +298,17 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, keyed
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of a block of a group that are in different components and that the sketches don't refute."""
 
-        def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts)
+        for _, t in groups(batches, 3):
             x, y, own, sid, comp, n = (t.column(i).to_numpy() for i in (1, 2, 3, 4, 5, 6))
-            sketch = _fixed(t.column(7).combine_chunks(), np.uint8)
+            sketch = _fixed(t.column(7), np.uint8)
             left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-            a, b = [], []
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i in left:
                 js = right[(comp[right] != comp[i]) & ((sid[right] > sid[i]) | (x[0] != y[0]))]
                 js = js[_may_link(n[js], sketch[js], n[i], sketch[i], percent)] if len(js) else js
                 a.append(np.full(len(js), sid[i]))
                 b.append(sid[js])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64))], names=["a", "b"])
-
-        kept: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                now = tuple(k[:, lo].tolist())
-                if now != key and kept:
-                    yield solve(kept)
-                    kept = []
-                key = now
-                kept.append(batch.slice(lo, hi - lo))
-        if kept:
-            yield solve(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     # different sets whose first halves agree have not met yet
     halves = classes.join(classes.groupBy("sid").count().where("count > 1"), "sid", "left_semi").select("sid", "node")

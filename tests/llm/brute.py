@@ -115,3 +115,49 @@ def pii(text):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def languages(docs, bits, number, held):
+    """{id: (language, score)} by plain loops; ``bits`` holds a letter's vector by its ``number``."""
+    dim = bits.shape[1] * 64
+    signs = {}
+
+    def letter(n, place):
+        if (n, place) not in signs:
+            words = [int(bits[n][(k - place) % bits.shape[1]]) for k in range(bits.shape[1])]
+            signs[n, place] = [-1 if w.to_bytes(8, "little")[i // 8] >> (7 - i % 8) & 1 else 1 for w in words for i in range(64)]
+        return signs[n, place]
+
+    def profile(text):
+        letters = re.sub("0+", "0", "0" + "".join(chr(0x100000 + number(c)) if c.isalpha() else "0" for c in text) + "0")
+        if letters == "0":
+            return None
+        codes = [0 if c == "0" else ord(c) - 0x100000 for c in letters]
+        total = [0.0] * dim
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            for i, (x, y, z) in enumerate(zip(letter(a, 2), letter(b, 1), letter(c, 0), strict=True)):
+                total[i] += x * y * z
+        return total
+
+    def unit(v):
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n for x in v]
+
+    profiles = {i: profile(t or "") for i, t, _ in docs}
+    sums = {}
+    for i, _, lang in docs:
+        if i is not None and not held(i) and lang is not None and profiles[i]:
+            v = unit(profiles[i])
+            sums[lang] = [x + y for x, y in zip(sums.get(lang, [0.0] * dim), v, strict=True)]
+    sums = {k: unit(v) for k, v in sums.items()}
+    mean = [sum(x) / len(sums) for x in zip(*sums.values(), strict=True)]
+    centred = {k: unit([x - m for x, m in zip(v, mean, strict=True)]) for k, v in sums.items()}
+    out = {}
+    for i, v in profiles.items():
+        if v is None:
+            out[i] = ("und", 0.0)
+        else:
+            v = unit(v)
+            score, lang = max((sum(x * y for x, y in zip(v, p, strict=True)), k) for k, p in centred.items())
+            out[i] = (lang, (1 + score) / 2)
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from jobtide.llm import langid, pii
+from jobtide.llm.common import made
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -98,5 +99,19 @@ def test_awkward_rows(spark):
     assert langid.prototypes(none.select("doc_id", "text", "lang")) == {}
 
 
-def test_run(spark):
-    assert cp.run(spark, SF).where("doc_id is not null").count() > 0
+def test_a_very_long_text(spark):
+    rng = random.Random(8)
+    words = [w for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").limit(50).collect() for w in r["text"].split(" ")]
+    long = " ".join(rng.choices(words, k=250_000))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(7000, long, None), (7001, long + " more", None)], "doc_id long, text string, lang string"))
+    for name, stage in cp.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, SF).where("doc_id >= 7000" if name == "language_id" else "true").collect() or [(7000, long, None)])
+        assert {r["doc_id"] for r in docs.select("doc_id").collect()} == ({7000, 7001} if name == "language_id" else {7000})
+    assert docs.agg(F.sum("length")).first()[0] == docs.first()["doc_tokens"] > 200_000
+
+
+def test_run(spark, stages):
+    before = set(made())
+    rows = cp.run(spark, SF).collect()
+    assert {(r["doc_id"], r["start"], r["length"], bytes(r["ids"])) for r in rows if r["doc_id"] is not None} and {r["doc_id"]: r["doc_tokens"] for r in rows} == {r["doc_id"]: r["doc_tokens"] for r in stages[4][1]}
+    assert len(set(made()) - before) <= 1  # only the result is left

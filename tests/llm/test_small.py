@@ -324,6 +324,40 @@ def test_near_duplicates(spark, points, monkeypatch):
     assert neardup.near_duplicates(vectors(spark, [])).count() == 0 and neardup.near_duplicates(vectors(spark, points[-8:-1])).count() == 7
 
 
+def test_leaves_are_split_until_they_fit(spark):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((3000, 24))
+    x[1500:2000] = x[:500] + 0.12 * r.standard_normal((500, 24))  # pairs around the threshold
+    x[2000:2400] = x[0] + 1e-3 * r.standard_normal((400, 24))  # too tight to split
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    link = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    rows = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    # fitted on 60 vectors, a leaf of the upper levels holds hundreds
+    got = {r["vec_id"]: r for r in neardup.near_duplicates(rows, sample=60, leaf_rows=40).collect()}
+    assert sum(r["n_links"] for r in got.values()) >= 0.98 * link.sum() and all(got[i]["n_links"] <= n for i, n in enumerate(link.sum(1)))
+    first = neardup.grow(u[:60], 3000, leaf_rows=40)
+    routed = [(i, 1, v.tolist(), sorted(int(k) for t in first for k in t.route(u[i : i + 1])[1])) for i, v in enumerate(x)]
+    routed = spark.createDataFrame(routed, "vec_id long, copies long, embedding array<float>, leaves array<long>")
+    sizes = {r["leaf"]: r["count"] for r in neardup._split(routed, 0.95, 40).select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
+    assert max(routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().toPandas()["count"]) > 300
+    assert all(n <= 160 for k, n in sizes.items() if k >= 0) and any(k < 0 and n >= 400 for k, n in sizes.items())
+
+
+def test_recall_over_many_leaves(spark):
+    """Links found at production parameters against all links, on a table of many leaves."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()
+    x, r = np.array([g["embedding"] for g in given], np.float64), np.random.default_rng(6)
+    # each vector with a neighbour of a cosine around the threshold
+    near = x / np.linalg.norm(x, axis=1, keepdims=True) + r.uniform(0.02, 0.05, (len(x), 1)) * r.standard_normal(x.shape)
+    x = np.concatenate([x, near]).astype(np.float32).astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert len(x) > 20 * neardup.LEAF_ROWS and want.sum() > 1000
+    got = {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.98 * want.sum()
+
+
 def test_top_k(spark, points, monkeypatch):
     part = points[:-8] + [(1040, [0.0] * 16)]  # a zero vector takes part here
     ids = np.array([i for i, _ in part])
@@ -334,9 +368,20 @@ def test_top_k(spark, points, monkeypatch):
         order = [j for j in np.lexsort((ids, -s)) if j != at][:20]
         want |= {(int(ids[at]), k + 1, int(ids[j]), int(s[j])) for k, j in enumerate(order)}
     assert {tuple(r) for r in knn.top_k(vectors(spark, points)).collect()} == want
-    monkeypatch.setattr(knn, "DATA_BLOCK", 100)
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 6)
-    assert {tuple(r) for r in knn.top_k(vectors(spark, points)).collect()} == want
+    for block, cell, scale in ((100, 40, 64), (15, 100, 64), (100, 40, 3000)):
+        monkeypatch.setattr(knn, "DATA_BLOCK", block)
+        monkeypatch.setattr(knn, "CELL_ROWS", cell)
+        found = {tuple(r) for r in knn.top_k(vectors(spark, points), scale=float(scale)).collect()}
+        if scale == 64:
+            assert found == want
+        else:  # components of more than 8 bits
+            y = np.floor(np.array([v for _, v in part], np.float64) * scale)
+            top = {(int(ids[at]), 1): int(max(np.delete(y @ y[at], at))) for at in np.flatnonzero(ids % 20 == 0)}
+            assert {(q, r): s for q, r, _, s in found if r == 1} == top
+    clash = vectors(spark, points).withColumns({"query_id": F.lit(1), "score": F.lit(2), "rank": F.lit(3), "block": F.lit(4), "x": F.lit(5), "g": F.lit(6)})
+    assert {tuple(r) for r in knn.top_k(clash).collect()} == want
+    again = vectors(spark, points + points[:40])
+    assert {tuple(r) for r in knn.top_k(again).collect()} == want
     assert knn.top_k(vectors(spark, [])).count() == 0 and knn.top_k(vectors(spark, points[:3])).count() == 2
 
 
@@ -351,6 +396,64 @@ def test_language(spark):
     assert {r["lang_pred"] for r in rows if r["doc_id"] in (9001, 9002, 9003)} == {"und"} and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_against_plain_profiles(spark):
+    docs = [(r["doc_id"], (r["text"] or "")[:400], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    docs += [(900, None, "en"), (901, "", "en"), (902, "12 !", None), (903, "É", "fr"), (904, "ab", None), (905, "Привет мир", None), (906, "ПРИВЕТ, мир", None), (907, "日本語", None), (908, docs[0][1], None), (908, docs[0][1], None)]
+    table, points = langid._letters()
+    want = brute.languages(docs, langid.letter_bits(langid.DIM), lambda c: int(table[ord(c)]), brute.held_out)
+    clash = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumns({"score": F.lit("x"), "lang_pred": F.lit("y"), "held_out": F.lit(1), "likeness": F.lit(2)})
+    rows = langid.identify(clash).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4
+    assert len(set(points.tolist())) == len(points) and table[ord("я")] != table[ord("a")] and table[ord("Я")] == table[ord("я")]
+
+
+def test_names_that_clash(spark):
+    text = "mail a@b.cd under the MIT License " * 3
+    docs = spark.createDataFrame([(1, text), (None, text), (1, text)], "doc_id long, text string")
+    every = "spans start end kind redacted score scores labels key words known held blocks lower n_words ids anchor content t u span marks kept node sid check sketch sig rep n_tokens".split()
+    docs = docs.withColumns({c: F.lit("x") for c in every})
+    assert [r["n_email"] for r in pii.digest(pii.find_pii(docs)).collect()] == [3, 3, 3]
+    assert [r["scores"] for r in pii.digest(pii.find_pii(docs)).collect()] == ["1.00,1.00,1.00"] * 3
+    assert {r["base_labels"] for r in licenses.scan(docs).collect()} == {"mit"}
+    assert [r["n_tokens"] > 0 for r in tokens.count_tokens(docs, BPE).collect()] == [True] * 3
+    assert suffix.cleaned(docs, "marks", "t").count() == 3
+    assert sorted(str(r["component_id"]) for r in jaccard.jaccard_components(docs).collect()) == ["1", "1", "None"]
+    assert pieces.round_trip(docs, SP).where("n_pieces > 0").count() == 3 and packing.pack_documents(docs, BPE).count() >= 3
+
+
+def test_context_words_are_whole_words():
+    score = lambda t: {k: s for k, _, _, s in pii.find(t)}["ip"]
+    assert score("the server 1.2.3.4") == score("at 1.2.3.4 (host)") > score("lorem ipsum 1.2.3.4") == score("1.2.3.4 shipping hosted")
+    assert score("1.2.3.4" + " " * 36 + "hosting") == score("1.2.3.4")  # the end of the context cuts a word
+
+
+def test_long_templates_fit_into_blocks(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(150)]
+    docs = [(i, " ".join(["x"] * r.randrange(400) + words + ["y"] * r.randrange(100))) for i in range(30)]
+    found = licenses.find_blocks(frame(spark, docs), {"long": " ".join(words)}, 1.0).select("doc_id").distinct().count()
+    assert found == 30
+    assert licenses.find_blocks(frame(spark, docs), {}).count() == 0
+
+
+def test_step_groups_are_balanced():
+    r = random.Random(9)
+    windows = packing.pack([r.randrange(1, 3000) for _ in range(3000)])
+    groups = packing.step_groups(windows, 16 * 2048)
+    by = {}
+    for (size, parts), g in zip(windows, groups, strict=True):
+        by.setdefault((size, g), []).append(sum(n * n for *_, n in parts))
+    for size in {s for s, _ in by}:
+        own = [c for (s, _), c in by.items() if s == size]
+        # equal tokens but for one window, and of groups with as many windows equal cost within a few windows' spread
+        assert max(map(len, own)) - min(map(len, own)) <= 1
+        full = [sum(c) for c in own if len(c) == max(map(len, own))]
+        assert max(full) - min(full) <= 2 * size * size
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     for f in (jaccard.jaccard_components, suffix.cleaned, licenses.scan, pii.find_pii, langid.identify):
