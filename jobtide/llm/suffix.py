@@ -7,7 +7,8 @@ content of a group that holds several is brought together, their suffixes are so
 transform sets the common prefixes by increasing value up to the length; neighbours that it never sets apart repeat. A group of more
 contents than a task should hold is not brought together: the hashes of its windows are counted, which combines before the shuffle.
 
-Anchors that only one span has are left out first, by counts that combine before the shuffle; no window or list ever holds a group.
+Anchors that only one span has are left out first. Anchors that very many spans have are known from a sample, and their rows are dealt to several parts;
+the rest of the work groups by counts that combine before the shuffle, so no task ever holds a large group.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,9 @@ UNIT = 4_000_000
 CHUNK_BYTES = 1_500_000
 #: Groups of more contents are compared by counts of their windows' hashes. The results are the same; a task then holds at most so many spans of a group.
 HOT_SPANS = 1_000
+#: An anchor that HOT_SEEN spans of about HOT_SAMPLE documents have is hot: it is shared for sure, and its rows are dealt to SALTS parts. At most
+#: HOT_SAMPLE / HOT_SEEN anchors for each span of a document are. This decides how rows are dealt, never what is found.
+HOT_SAMPLE, HOT_SEEN, SALTS = 20_000, 20, 256
 #: Bytes of spans whose windows are hashed together.
 HASH_BYTES = 1_000_000
 _POSITION = np.uint64((1 << 24) - 1)
@@ -192,19 +196,6 @@ def _keyed(texts: DataFrame) -> DataFrame:
     return texts.select(F.struct("t", "u"), "text")
 
 
-def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """(anchor) of the anchors that more than one span has. Each task counts its own first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, values in blocks(batches, 1_000_000):
-            s, _, count = _hashed([v.encode() for v in values], keys, length)
-            anchor, inverse = np.unique(s.anchor, return_inverse=True)
-            weight = np.bincount(inverse, weights=count[s.text], minlength=len(anchor))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(np.minimum(weight, 2).astype(np.int8))], names=["anchor", "n"])
-
-    return _keyed(texts).mapInArrow(run, "anchor long, n byte").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-
-
 def anchors(texts: DataFrame, length: int) -> DataFrame:
     """(anchor, content, t, u, span) of every span of (t, u, text); copies within a block of texts count as one that repeats."""
 
@@ -221,12 +212,16 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
-    """(t, u, text, marks) to (key, t, u, start, bytes): the bytes of each span."""
+    """(t, u, text, marks) to (key, t, u, start, bytes): the bytes of each span. Copies of a text that stand together, as a join leaves them, count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
             out: list[tuple] = []
             for t, u, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+                if (t, u) == last:
+                    continue
+                last = t, u
                 data = text.as_py().encode()
                 out += [(s["anchor"], t, u, s["start"], data[s["start"] : s["start"] + s["size"]]) for s in spans]
             columns = list(zip(*out, strict=True)) if out else [(), (), (), (), ()]
@@ -338,8 +333,11 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     Where the bit is set the text may have the same content again itself; of such contents only the first stretch is given.
     """
     again = F.col("span").bitwiseAND(1)
-    heads = written(shared_anchors(texts, length))
-    rows = written(anchors(texts, length).join(heads.hint("shuffle_hash"), "anchor", "left_semi"))
+    some = texts.where(F.pmod("t", F.lit(max(1, texts.count() // HOT_SAMPLE))) == 0)
+    hot_anchors = written(anchors(some, length).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_SEEN).select("anchor", F.lit(True).alias("hot")))
+    every = anchors(texts, length).join(F.broadcast(hot_anchors), "anchor", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("t"), F.lit(SALTS))).otherwise(0))
+    weight = F.sum(1 + again).over(Window.partitionBy("anchor", "salt"))
+    rows = written(every.withColumn("weight", weight).where(F.col("hot").isNotNull() | (F.col("weight") > 1)).select("anchor", "content", "t", "u", "span"))
     contents = written(rows.groupBy("anchor", "content").agg(F.sum(1 + again).alias("own"), F.min(F.struct("t", "u", "span")).alias("lead")))
     whole = rows.join(contents.where("own > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
     found = whole.select("t", "u", *_unpacked(F.col("span"), length)).select("t", "u", "start", "size", "again")

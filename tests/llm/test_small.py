@@ -163,6 +163,7 @@ def test_suffix_of_a_common_passage(spark, monkeypatch):
     contexts = []
     compared = suffix._compared
     monkeypatch.setattr(suffix, "HOT_SPANS", 20)
+    monkeypatch.setattr(suffix, "HOT_SEEN", 10)
     monkeypatch.setattr(suffix, "HASH_BYTES", 3000, raising=False)
     monkeypatch.setattr(suffix, "_compared", lambda c, length: contexts.append(c) or compared(c, length))
     assert {tuple(x) for x in suffix.cleaned(frame(spark, docs)).collect()} == brute.suffix(docs)
