@@ -18,7 +18,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, groups, runs, scratch, written
+from .common import discard, groups, made, runs, scratch, written
 from .components import components
 from .vectors import matrix, sampled, usable
 
@@ -190,6 +190,7 @@ def near_duplicates(vectors: DataFrame, theta: float = THRESHOLD, sample: int =
     exact = classes.where(F.exists("embedding", lambda x: x != x.cast("float").cast("double"))).limit(1).count() == 0
     rows = single if exact else classes.select("vec_id", "copies", "embedding")
     kind = "float" if exact else "double"
+    path, before = scratch(vectors.sparkSession), made()
     routed = _split(written(rows.mapInArrow(route, f"vec_id long, copies long, embedding array<{kind}>, leaves array<long>")), theta, leaf_rows)
 
     placed = routed.select("*", F.explode("leaves").alias("leaf"))
@@ -229,7 +230,8 @@ def near_duplicates(vectors: DataFrame, theta: float = THRESHOLD, sample: int =
                 mask = mask & (held @ held.T == 0)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(mask @ copies), pa.array(root)], names=["vec_id", "links", "root"])
 
-    found = written(placed.repartition("leaf", "x", "y").sortWithinPartitions("leaf", "x", "y").mapInArrow(compare, "vec_id long, links long, root long"))
+    found = written(placed.repartition("leaf", "x", "y").sortWithinPartitions("leaf", "x", "y").mapInArrow(compare, "vec_id long, links long, root long"), path)
+    discard(vectors.sparkSession, *[p for p in made() if p not in before])
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     told = classes.join(links, "vec_id", "left").join(joined.withColumnRenamed("node", "vec_id"), "vec_id", "left")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stretches, blocks, mix, powers, ragged, signed, written
+from .common import Stretches, blocks, discard, made, mix, powers, ragged, scratch, signed, written
 
 LENGTH = 200
 #: Window starts of a text that are handled at once; the positions of a unit fit into 24 bits.
@@ -343,7 +343,8 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     found = whole.select("t", "u", *_unpacked(F.col("span"), length)).select("t", "u", "start", "size", "again")
     # a group of one content, or of contents that all have several members, has nothing left to compare
     groups = contents.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if(F.col("own") == 1).alias("singles")).where("n > 1 and singles > 0")
-    compared = written(contents.join(groups.select("anchor", "n"), "anchor").select("anchor", "n", "lead.*"))
+    # written, so that both sides of the join are read and a hot anchor is split by adaptive skew handling
+    compared = written(contents.join(written(groups.select("anchor", "n")), "anchor").select("anchor", "n", "lead.*"))
 
     def contexts(of: Column) -> DataFrame:
         wanted = compared.where(of).select("t", "u", F.struct("anchor", *_unpacked(F.col("span"), length)[:2]).alias("mark"))
@@ -367,7 +368,10 @@ def cleaned(docs: DataFrame, *keep: str, length: int = LENGTH, keep_text: bool =
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("t"), F.xxhash64(F.lit("u"), text).alias("u"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(keep)])
-    marks = written(repeats(rows.select("t", "u", "text"), length))
+    path = scratch(docs.sparkSession)
+    before = made()
+    marks = written(repeats(rows.select("t", "u", "text"), length), path)
+    discard(docs.sparkSession, *[p for p in made() if p not in before])
 
     def own_repeats(x: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Spans whose content the text has more than once."""
