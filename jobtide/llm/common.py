@@ -96,6 +96,13 @@ def blocks(batches: Iterator[pa.RecordBatch], chars: int = BLOCK_CHARS) -> Itera
         yield ids, texts
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows: what a task makes of rows with texts stays small, whatever the size of an Arrow batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """(key, rows) for each run of rows that agree in the first ``keys`` columns, which are integers; a run ends with its batch."""
     for b in batches:

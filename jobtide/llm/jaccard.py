@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, documents, groups, mix, scratch, signed, written
+from .common import blocks, discard, documents, groups, mix, scratch, signed, sliced, written
 from .components import components
 from .shingles import Sets, shingle_sets
 
@@ -191,15 +191,14 @@ def _some(docs: DataFrame, rows: int, most: int) -> DataFrame:
 def measured_plans(docs: DataFrame, rows: int, percent: int, words: int) -> np.ndarray:
     """The plan of each band that costs least: its signatures, and SHARED_COST more for each that another set shares.
 
-    Measured on about PLAN_SAMPLE documents, by a hash; sharing grows with the number of documents that can share. The driver gets
-    one row for each band and plan.
+    Measured on about PLAN_SAMPLE documents, by a hash. There sharing by near copies, which no plan avoids, shows in all plans alike, and sharing by chance
+    shows where segments are so short or frequent that it is common. The driver gets one row for each band and plan.
     """
     tables = [plan_table(percent, {k: j for k in range(len(bands(percent)[0]))}) for j in range(max(map(len, bands(percent)[1])))]
     found = index(_some(docs, rows, PLAN_SAMPLE), percent, words, tables).groupBy("plan", "band", "sig").agg(F.count("*").alias("n"), (F.min("sid") != F.max("sid")).alias("shared"))
     cost: dict[int, dict[int, float]] = {}
     for r in found.groupBy("band", "plan").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("shared"), F.col("n")).otherwise(0)).alias("shared")).collect():
-        shared = min(r["n"], r["shared"] * max(1, rows // PLAN_SAMPLE))
-        cost.setdefault(r["band"], {})[r["plan"]] = r["n"] + SHARED_COST * shared
+        cost.setdefault(r["band"], {})[r["plan"]] = r["n"] + SHARED_COST * r["shared"]
     return plan_table(percent, {k: min(c, key=lambda j: (c[j], j)) for k, c in cost.items()})
 
 
@@ -225,7 +224,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
     sets = written(picked.mapInArrow(run, "node long, members binary").dropDuplicates(["node"]), paths[2])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -270,7 +269,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, keyed
     lead = written(shared.join(weight, "sid").groupBy("sig").agg(F.max(F.struct("weight", "sid"))["sid"].alias("lead")))
 
     def refute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 2048):
             if b.num_rows:
                 n1, n2 = (b.column(i).to_numpy() for i in (3, 5))
                 yield b.select(["a", "b", "common"]).filter(pa.array(_may_link(n1, _fixed(b.column(4), np.uint8), n2, _fixed(b.column(6), np.uint8), percent)))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, with_columns
+from .common import mix, sliced, with_columns
 
 DIM, GRAM, SEED = 512, 3, 20
 #: The prototypes are fitted on about so many labelled texts of a language at most, chosen by a hash of the id, and for so many of the most frequent
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], *keep: str, dim: int
     liked = damped is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             langs, scores, likes = [], [], []
             for t in batch.column(1):
                 t = t.as_py()

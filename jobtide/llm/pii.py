@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_columns
+from .common import sliced, with_columns
 
 # The kinds in their order, and what each is replaced with.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -141,7 +141,7 @@ def find_pii(docs: DataFrame, *keep: str, redacted: bool = False) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [find(t.as_py() or "") for t in b.column(1)]
             columns = [b.column(0), pa.array([[dict(zip(SPAN.names, s, strict=True)) for s in f] for f in found], _ARROW_SPANS)]
             if redacted:

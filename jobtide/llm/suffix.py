@@ -23,20 +23,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stretches, blocks, discard, made, mix, powers, ragged, scratch, signed, written
+from .common import Stretches, blocks, discard, made, mix, powers, ragged, scratch, signed, sliced, written
 
 LENGTH = 200
 #: Window starts of a text that are handled at once; the positions of a unit fit into 24 bits.
 UNIT = 4_000_000
+#: Characters of texts whose spans are found together.
+BLOCK_CHARS = 400_000
 #: Bytes of spans whose suffixes are sorted together.
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 700_000
 #: Groups of more contents are compared by counts of their windows' hashes. The results are the same; a task then holds at most so many spans of a group.
 HOT_SPANS = 1_000
 #: An anchor that HOT_SEEN spans of about HOT_SAMPLE documents have is hot: it is shared for sure, and its rows are dealt to SALTS parts. At most
 #: HOT_SAMPLE / HOT_SEEN anchors for each span of a document are. This decides how rows are dealt, never what is found.
 HOT_SAMPLE, HOT_SEEN, SALTS = 20_000, 20, 256
 #: Bytes of spans whose windows are hashed together.
-HASH_BYTES = 1_000_000
+HASH_BYTES = 300_000
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -200,7 +202,7 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
     """(anchor, content, t, u, span) of every span of (t, u, text); copies within a block of texts count as one that repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, values in blocks(batches, 1_000_000):
+        for keys, values in blocks(batches, BLOCK_CHARS):
             s, keys, count = _hashed([v.encode() for v in values], keys, length)
             one, again = s.once()
             again = again | (count > 1)[s.text[one]]
@@ -216,7 +218,7 @@ def _contexts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for b in batches:
+        for b in sliced(batches):
             out: list[tuple] = []
             for t, u, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 if (t, u) == last:
@@ -381,7 +383,7 @@ def cleaned(docs: DataFrame, *keep: str, length: int = LENGTH, keep_text: bool =
         return s.start[again], s.size[again]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for text, marks in zip(b.column(1), b.column(2), strict=True):
                 x = text.as_py().encode()
