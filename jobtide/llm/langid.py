@@ -30,22 +30,20 @@ UND = "und"
 
 
 @lru_cache(1)
-def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point the number of its lower-case letter, 0 for what is no letter; and each number's code point."""
-    table, number = np.zeros(0x110000, np.int32), {0: 0}
+def letters() -> np.ndarray:
+    """For each code point its lower-case letter, 0 for what is no letter."""
+    table = np.zeros(0x110000, np.int32)
     for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
-            low = unicodedata.normalize("NFC", ch.lower() or ch)[0]
-            table[c] = number.setdefault(ord(low), len(number))
-    return table, np.array(list(number), np.uint64)
+            table[c] = ord(unicodedata.normalize("NFC", ch.lower() or ch)[0])
+    return table
 
 
-@lru_cache(4)
-def letter_bits(dim: int) -> np.ndarray:
-    """The vector of each letter as ``dim`` bits (1 for -1) in words of 64, by a hash of its code point and the word's place."""
-    points, words = _letters()[1], np.arange(dim // 64, dtype=np.uint64)
-    return mix(mix(points[:, None] + np.uint64(SEED << 32)) + (words + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+def letter_bits(points: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """The vectors of letters as ``dim`` bits (1 for -1) in words of 64, by a hash of the code point and the word's place."""
+    words = np.arange(dim // 64, dtype=np.uint64)
+    return mix(mix(points.astype(np.uint64)[:, None] + np.uint64(SEED << 32)) + (words + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def permuted(bits: np.ndarray, place: int) -> np.ndarray:
@@ -53,14 +51,9 @@ def permuted(bits: np.ndarray, place: int) -> np.ndarray:
     return np.roll(bits, place, axis=-1)
 
 
-@lru_cache(4)
-def _vectors(dim: int, gram: int) -> list[np.ndarray]:
-    return [np.ascontiguousarray(permuted(letter_bits(dim), gram - 1 - k)) for k in range(gram)]
-
-
 def grams_of(text: str, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray] | None:
-    """The distinct n-grams of letter numbers (one a row) and their counts; None without a letter. Runs of non-letters count as one gap, also at both ends."""
-    code = _letters()[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+    """The distinct n-grams of letters (one a row) and their counts; None without a letter. Runs of non-letters count as one gap, also at both ends."""
+    code = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
     if not code.any():
         return None
     code = np.concatenate([[0], code, [0]])
@@ -70,9 +63,9 @@ def grams_of(text: str, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray] | Non
         code = np.concatenate([code, np.zeros(gram - len(code), np.int64)])
     key = np.zeros(len(code) - gram + 1, np.int64)
     for k in range(gram):
-        key = key << 18 | code[k : len(code) - gram + 1 + k]
+        key = key << 21 | code[k : len(code) - gram + 1 + k]
     key, count = np.unique(key, return_counts=True)
-    return np.stack([key >> 18 * (gram - 1 - k) & (1 << 18) - 1 for k in range(gram)], axis=1), count
+    return np.stack([key >> 21 * (gram - 1 - k) & (1 << 21) - 1 for k in range(gram)], axis=1), count
 
 
 def profiles(text: str, dim: int = DIM, gram: int = GRAM) -> np.ndarray | None:
@@ -81,13 +74,16 @@ def profiles(text: str, dim: int = DIM, gram: int = GRAM) -> np.ndarray | None:
     if found is None:
         return None
     grams, count = found
+    own, at = np.unique(grams, return_inverse=True)
+    at = at.reshape(grams.shape)
+    vectors = [np.ascontiguousarray(permuted(letter_bits(own, dim), gram - 1 - k)) for k in range(gram)]
     total = np.zeros((2, dim), np.float32)
     weights = np.stack([count, np.sqrt(count)]).astype(np.float32)
     for a in range(0, len(grams), 4096):  # a bounded matrix, however many n-grams a text has
-        part, bound = grams[a : a + 4096], None
-        for k in range(gram):
-            v = _vectors(dim, gram)[k][part[:, k]]
-            bound = v if bound is None else bound ^ v
+        part = at[a : a + 4096]
+        bound = vectors[0][part[:, 0]]
+        for k in range(1, gram):
+            bound ^= vectors[k][part[:, k]]
         bits = np.unpackbits(bound.view(np.uint8), axis=1).astype(np.float32)
         w = weights[:, a : a + 4096]
         total += w.sum(1, keepdims=True) - 2 * (w @ bits)

@@ -9,6 +9,8 @@ is nothing or minus infinity, and exactly one piece survives at each position th
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import WordStore, blocks, documents
@@ -164,7 +165,10 @@ def model(path: str) -> PieceModel:
 
 
 def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit) of every whole text; a null or empty text has none. No shuffle."""
+    """doc_id and ids (little-endian unsigned 32-bit) of every whole text, however long; a null or empty text has none.
+
+    One row for each input row, repeated ids and texts included; null ids stay null; an empty table gives no rows; other columns are left out. No shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -175,7 +179,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode_pieces(encoded: DataFrame, path: str, *keep: str) -> DataFrame:
-    """(doc_id, ids, ``keep``...) to (doc_id, text, ``keep``...); null ids give a null text."""
+    """(doc_id, ids, ``keep``...) to (doc_id, text, ``keep``...), row by row; null ids give a null text, no ids an empty one, a null doc_id stays null; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -189,8 +193,17 @@ def decode_pieces(encoded: DataFrame, path: str, *keep: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, text_sha256 of the decoded text. A null text counts as empty."""
-    coded = encode_pieces(docs, path).withColumns({"n_pieces": (F.length("ids") / 4).cast("long"), "ids_crc32": F.crc32("ids")})
-    return decode_pieces(coded, path, "n_pieces", "ids_crc32").select("doc_id", "n_pieces", "ids_crc32", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    """doc_id, n_pieces, ids_crc32, text_sha256 of the decoded text, one row for each input row. A null text counts as empty, a null id stays null; an empty table gives no rows.
+
+    Encoding and decoding are one Python pass.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for doc_ids, texts in blocks(batches, 500_000):
+            ids = m.encode(texts)
+            made = [[len(x) for x in ids], [zlib.crc32(x.tobytes()) for x in ids]]
+            digests = [hashlib.sha256(m.decode(x).encode()).hexdigest() for x in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array(c, pa.int64()) for c in made), pa.array(digests, pa.string())], names=["doc_id", "n_pieces", "ids_crc32", "text_sha256"])
 
+    return documents(docs).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string")

@@ -27,7 +27,7 @@ from .common import Stretches, blocks, discard, made, mix, powers, ragged, scrat
 
 LENGTH = 200
 #: Window starts of a text that are handled at once; the positions of a unit fit into 24 bits.
-UNIT = 4_000_000
+UNIT = 1_000_000
 #: Characters of texts whose spans are found together.
 BLOCK_CHARS = 400_000
 #: Bytes of spans whose suffixes are sorted together.
@@ -213,27 +213,28 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
     return _keyed(texts).mapInArrow(run, "anchor long, content long, t long, u long, span long")
 
 
-def _contexts(rows: DataFrame) -> DataFrame:
-    """(t, u, text, marks) to (key, t, u, start, bytes): the bytes of each span. Copies of a text that stand together, as a join leaves them, count once."""
+def _bytes_of_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, u, text, marks) to (key, t, u, start, bytes). Copies of a text that stand together, as a join leaves them, count once."""
+    last = None
+    for b in sliced(batches):
+        out: list[tuple] = []
+        for t, u, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+            if (t, u) == last:
+                continue
+            last = t, u
+            data = text.as_py().encode()
+            out += [(s["anchor"], t, u, s["start"], data[s["start"] : s["start"] + s["size"]]) for s in spans]
+        columns = list(zip(*out, strict=True)) if out else [(), (), (), (), ()]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["key", "t", "u", "start", "bytes"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in sliced(batches):
-            out: list[tuple] = []
-            for t, u, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-                if (t, u) == last:
-                    continue
-                last = t, u
-                data = text.as_py().encode()
-                out += [(s["anchor"], t, u, s["start"], data[s["start"] : s["start"] + s["size"]]) for s in spans]
-            columns = list(zip(*out, strict=True)) if out else [(), (), (), (), ()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["key", "t", "u", "start", "bytes"])
 
-    return rows.mapInArrow(run, "key long, t long, u long, start long, bytes binary")
+def _contexts(rows: DataFrame) -> DataFrame:
+    """(t, u, text, marks) to (key, t, u, start, bytes): the bytes of each span."""
+    return rows.mapInArrow(_bytes_of_spans, "key long, t long, u long, start long, bytes binary")
 
 
-def _windows(contexts: DataFrame, length: int) -> DataFrame:
-    """(hash, t, u, start, i) of the i-th window of each span."""
+def _windows(rows: DataFrame, length: int) -> DataFrame:
+    """(t, u, text, marks) to (hash, t, u, start, i): the i-th window of each span. One Python pass makes both the spans and their windows."""
 
     def solve(t: list[int], u: list[int], start: list[int], parts: list[bytes]) -> pa.RecordBatch:
         sizes = np.array([len(p) for p in parts], np.int64)
@@ -246,7 +247,7 @@ def _windows(contexts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists: list[list] = [[], [], [], []]
         size = 0
-        for batch in batches:
+        for batch in _bytes_of_spans(batches):
             for _, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for held, x in zip(lists, row, strict=True):
                     held.append(x)
@@ -257,11 +258,11 @@ def _windows(contexts: DataFrame, length: int) -> DataFrame:
         if size:
             yield solve(*lists)
 
-    return contexts.mapInArrow(run, "hash long, t long, u long, start long, i long")
+    return rows.mapInArrow(run, "hash long, t long, u long, start long, i long")
 
 
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """_compared for spans of hot groups. Counts combine before the shuffle and a common window is joined by adaptive skew handling, so no task holds a group."""
+def _counted(rows: DataFrame, length: int) -> DataFrame:
+    """_compared for the spans of hot groups, from (t, u, text, marks). Counts combine before the shuffle and a common window is joined by adaptive skew handling, so no task holds a group."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -275,7 +276,7 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(b.column(2).to_numpy()[row] + i[new]), pa.array(i[last] - i[new] + length)], names=["t", "u", "start", "size"])
 
-    windows = written(_windows(contexts, length))
+    windows = written(_windows(rows, length))
     # copies of a text bring equal windows, and these do repeat
     common = windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     found = windows.join(written(common), "hash").groupBy("t", "u", "start").agg(F.sort_array(F.collect_set("i")).alias("found"))
@@ -348,14 +349,14 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     # written, so that both sides of the join are read and a hot anchor is split by adaptive skew handling
     compared = written(contents.join(written(groups.select("anchor", "n")), "anchor").select("anchor", "n", "lead.*"))
 
-    def contexts(of: Column) -> DataFrame:
+    def at_texts(of: Column) -> DataFrame:
         wanted = compared.where(of).select("t", "u", F.struct("anchor", *_unpacked(F.col("span"), length)[:2]).alias("mark"))
-        return _contexts(_at_texts(texts, wanted, "inner").select("t", "u", "text", "marks"))
+        return _at_texts(texts, wanted, "inner").select("t", "u", "text", "marks")
 
     hot, none = F.col("n") > HOT_SPANS, F.lit(0).cast("long")
-    found = found.unionByName(_compared(contexts(~hot), length).withColumn("again", none))
+    found = found.unionByName(_compared(_contexts(at_texts(~hot)), length).withColumn("again", none))
     if compared.where(hot).limit(1).count():
-        found = found.unionByName(_counted(contexts(hot), length).withColumn("again", none))
+        found = found.unionByName(_counted(at_texts(hot), length).withColumn("again", none))
     return found.select("t", "u", F.shiftleft("start", 24).bitwiseOR(F.shiftleft("size", 1)).bitwiseOR(F.col("again")).alias("mark"))
 
 

@@ -74,7 +74,7 @@ def starts(codes: np.ndarray, kind: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts as the library gives them, with a bounded store of encoded pre-tokens."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.library = Tokenizer.from_file(path)
         spec = json.loads(self.library.to_str())
         byte_of = _bytes_of_letters()
@@ -185,7 +185,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
-        for ids, texts in blocks(batches):
+        for ids, texts in blocks(batches, 500_000):
             n = [len(x) for x in e.encode(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
