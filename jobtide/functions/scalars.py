@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobtide.schemas import STATUSES
-from jobtide.settings import DLQ_PREFIX, QUEUE_PREFIX
+from jobtide.settings import DEBOUNCE_PREFIX, DLQ_PREFIX, IDEMPOTENCY_PREFIX, QUEUE_PREFIX, RATE_PREFIX
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -24,6 +24,19 @@ def dlq_key(name: Column) -> Column:
     return prefixed(name, DLQ_PREFIX)
 
 
+def rate_limit_key(name: Column) -> Column:
+    return prefixed(name, RATE_PREFIX)
+
+
+def debounce_key(name: Column) -> Column:
+    return prefixed(name, DEBOUNCE_PREFIX)
+
+
+def idempotency_key(name: Column) -> Column:
+    """Always with one more prefix, whatever the name starts with."""
+    return F.concat(F.lit(IDEMPOTENCY_PREFIX), name)
+
+
 def epoch_ms(t: Column) -> Column:
     """Milliseconds since the epoch of a naive timestamp, whatever the session's time zone."""
     days = F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
@@ -111,6 +124,29 @@ def parse_time(s: Column) -> Column:
     return F.coalesce(number, F.when(full, F.floor(F.unix_millis(F.try_to_timestamp(s))) / 1000.0))
 
 
+def json_value(s: Column) -> Column:
+    """The text if it is JSON other than null in any case; else null."""
+    return F.when((F.lower(s) != "null") & F.try_parse_json(s).isNotNull(), s)
+
+
+def status_text(s: Column) -> Column:
+    """In upper case; UNKNOWN for null."""
+    return F.upper(F.coalesce(s, F.lit("UNKNOWN")))
+
+
+def rfc3339(seconds: Column) -> Column:
+    """Epoch seconds as a UTC time with its offset, with milliseconds where there are any."""
+    ms = F.floor(seconds * 1000)
+    t = from_ms(ms)
+    return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.when(ms % 1000 != 0, F.date_format(t, ".SSS")).otherwise(""), F.lit("+00:00"))
+
+
+def provisional_lock_ms(timeout: Column, extension: Column) -> Column:
+    """(timeout + extension) in milliseconds while a job's own timeout is not known; null where the timeout is not positive, the extension negative, or the sum out of range."""
+    total = F.try_multiply(F.try_add(timeout.cast("long"), extension.cast("long")), F.lit(1000).cast("long"))
+    return F.when((timeout > 0) & (extension >= 0), total)
+
+
 def ago(seconds: Column, fallback: Column) -> Column:
     """``Ns ago``, ``Nm ago`` or ``Nh ago`` below a day; else the fallback."""
     n = F.floor(seconds).cast("long")

@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtide.functions.scalars import epoch_ms, queue_key, seconds_between, shortened
+from jobtide.operators.sinks import queued
 from jobtide.operators.state import JobState
 
 _RANK = ("score_ms", "job_id")
 
 
-def queue_list(state: JobState) -> DataFrame:
-    """Entries and the oldest and newest score of every queue, and of all under the name null."""
-    return state.queue.groupBy("queue_name").agg(F.count("*").alias("entries"), F.min("score_ms").alias("oldest"), F.max("score_ms").alias("newest")).unionByName(
-        state.queue.agg(F.count("*").alias("entries"), F.min("score_ms").alias("oldest"), F.max("score_ms").alias("newest")).withColumn("queue_name", F.lit(None).cast("string"))
-    )
+def queue_list(state: JobState, known: DataFrame | None = None) -> DataFrame:
+    """Entries and the oldest and newest score of every queue, and of all under the name null; queues of ``known`` (queue_name) that have no entries are shown with 0."""
+    facts = [F.count("score_ms").alias("entries"), F.min("score_ms").alias("oldest"), F.max("score_ms").alias("newest")]
+    rows = state.queue.select("queue_name", "score_ms")
+    if known is not None:
+        rows = rows.unionByName(known.select(queue_key(F.col("queue_name")).alias("queue_name"), F.lit(None).cast("double").alias("score_ms")))
+    return rows.groupBy("queue_name").agg(*facts).unionByName(rows.agg(*facts).withColumn("queue_name", F.lit(None).cast("string")))
 
 
 def average_wait(state: JobState, now: Column, head: int = 100) -> DataFrame:
@@ -30,11 +33,12 @@ def dlq_by_queue(state: JobState) -> DataFrame:
 
 
 def queue_stats(state: JobState, now: Column) -> DataFrame:
-    """One scan of the jobs gives all queues: waiting entries, running, completed, failed and all jobs, dead letters, mean wait."""
+    """Waiting entries, running, completed, failed and all jobs, dead letters and mean wait of every queue that has any; the jobs are scanned once."""
     is_ = lambda s: F.count_if(F.col("status") == s)
-    jobs = state.jobs.groupBy("queue_name").agg(is_("ACTIVE").alias("active"), is_("COMPLETED").alias("completed"), is_("FAILED").alias("failed"))
+    letters = state.dlq.groupBy(F.col("job_id").alias("id")).agg(F.count("*").alias("letters"))
+    jobs = state.jobs.select("id", "queue_name", "status").join(letters, "id", "left").groupBy("queue_name").agg(is_("ACTIVE").alias("active"), is_("COMPLETED").alias("completed"), is_("FAILED").alias("failed"), F.sum("letters").alias("dlq_count"))
     waiting = state.queue.groupBy("queue_name").agg(F.count("*").alias("pending"))
-    out = jobs.join(waiting, "queue_name", "full").join(dlq_by_queue(state), "queue_name", "left").join(average_wait(state, now), "queue_name", "left")
+    out = jobs.join(waiting, "queue_name", "full").join(average_wait(state, now), "queue_name", "left")
     counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("pending", "active", "completed", "failed", "dlq_count")}
     out = out.select("queue_name", *[v.alias(c) for c, v in counts.items()], "avg_wait")
     return out.withColumn("total", F.col("pending") + F.col("active") + F.col("completed") + F.col("failed")).where("total > 0")
@@ -49,12 +53,31 @@ def queue_page(state: JobState, queue: str, limit: int, offset: int = 0) -> Data
     return ranked.join(jobs, "job_id", "left").select("rank", "job_id", "score_ms", F.coalesce("function_name", missing).alias("function_name"), F.coalesce("status", missing).alias("status"))
 
 
+def all_fields(jobs: DataFrame) -> DataFrame:
+    """(id, field, value) of every field that is set, maps as JSON."""
+    kinds = dict(jobs.dtypes)
+    text = lambda c: F.to_json(c) if kinds[c].startswith("map") else F.col(c).cast("string")
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), text(c).alias("value")) for c in sorted(kinds)])
+    return jobs.select("id", F.inline(fields)).where("value is not null")
+
+
 def job_fields(state: JobState, job_id: str) -> DataFrame:
     """All fields of a job that are set, as (field, value), sorted by the field."""
-    names = sorted(c for c, t in state.jobs.dtypes if not t.startswith("map"))
-    row = state.jobs.where(F.col("id") == job_id).select(*[F.col(c).cast("string") for c in names])
-    long = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in names])).alias("x")).select("x.*")
-    return long.where("value is not null").orderBy("field")
+    return all_fields(state.jobs.where(F.col("id") == job_id)).select("field", "value").orderBy("field")
+
+
+def raw_maps(jobs: DataFrame) -> DataFrame:
+    """(id, fields): a job's set fields as a map of texts, sorted by name."""
+    kinds = dict(jobs.dtypes)
+    names = sorted(kinds)
+    values = F.array(*[F.to_json(c) if kinds[c].startswith("map") else F.col(c).cast("string") for c in names])
+    return jobs.select("id", F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), values), lambda k, v: v.isNotNull()).alias("fields"))
+
+
+def dlq_inspect(state: JobState, ids: DataFrame) -> DataFrame:
+    """(id, found, fields) for each id asked for: the stored fields as one JSON object, whatever list the job is on."""
+    told = raw_maps(state.jobs).select("id", F.to_json("fields").alias("fields"), F.lit(True).alias("found"))
+    return ids.select("id").join(told, "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"), "fields")
 
 
 def duration(now: Column) -> Column:
@@ -96,7 +119,7 @@ def trace(state: JobState, attempts: DataFrame) -> DataFrame:
     retries = attempts.where("attempt > 1").select(F.col("job_id").alias("id"), F.concat(F.lit("Retry "), (F.col("attempt") - 1).cast("string")).alias("event"), F.col("start_time").alias("ts"))
     rows = rows.unionByName(retries)
     order = Window.partitionBy("id").orderBy("ts", "event")
-    return rows.select("id", "event", "ts", seconds_between(F.col("ts"), F.lag("ts").over(order)).alias("gap_s"), seconds_between(F.col("ts"), F.min("ts").over(Window.partitionBy("id"))).alias("since_first_s"))
+    return rows.select("id", "event", "ts", seconds_between(F.col("ts"), F.lag("ts").over(order)).alias("gap_s"), seconds_between(F.col("ts"), F.first("ts").over(order)).alias("since_first_s"))
 
 
 def dlq_rows(state: JobState) -> DataFrame:
@@ -126,15 +149,15 @@ def top_counts(rows: DataFrame, key: Column, limit: int) -> DataFrame:
 
 
 def dlq_top(state: JobState) -> DataFrame:
-    """The ten most frequent queues and functions and the five most frequent errors of the dead letters."""
-    rows = dlq_rows(state)
+    """The ten most frequent queues and functions and the five most frequent errors of the dead letters, counted in one pass."""
     parts = [("queue", F.col("queue_name"), 10), ("function", F.col("function_name"), 10), ("error", shortened(F.col("last_error"), 100), 5)]
-    tables = [top_counts(rows, c, n).select(F.lit(k).alias("kind"), "name", "n") for k, c, n in parts]
-    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+    counted = dlq_rows(state).select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("name"), F.lit(n).alias("most")) for k, c, n in parts]))).groupBy("kind", "name", "most").agg(F.count("*").alias("n"))
+    at = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "name"))
+    return counted.withColumn("at", at).where("at <= most").select("kind", "name", "n")
 
 
-def dlq_requeue(state: JobState, dlq: str, target: str, now: Column, queue: str | None = None, function: str | None = None, everything: bool = False, limit: int | None = None) -> JobState:
-    """Dead letters back to a queue, newest push first: pending again, retries and last error kept. Needs a filter or ``everything``."""
+def dlq_chosen(state: JobState, dlq: str, queue: str | None = None, function: str | None = None, everything: bool = False, limit: int | None = None) -> DataFrame:
+    """What ``dlq_requeue`` would take (its dry run): job_id, queue_name, function_name, newest push first. Needs a filter or ``everything``."""
     if queue is None and function is None and not everything:
         raise ValueError("a filter is needed, or everything=True")
     rows = dlq_rows(state).where(F.col("dlq_name") == dlq)
@@ -142,14 +165,19 @@ def dlq_requeue(state: JobState, dlq: str, target: str, now: Column, queue: str
         rows = rows.where(queue_key(F.col("queue_name")) == queue_key(F.lit(queue)))
     if function is not None:
         rows = rows.where(F.col("function_name") == function)
-    rows = rows.orderBy(F.desc("pushed_seq"), "job_id")
-    chosen = (rows.limit(limit) if limit is not None else rows).select("job_id").distinct()
+    rows = rows.orderBy(F.desc("pushed_seq"), "job_id").select("job_id", "queue_name", "function_name")
+    return rows.limit(limit) if limit is not None else rows
+
+
+def dlq_requeue(state: JobState, dlq: str, target: str, now: Column, queue: str | None = None, function: str | None = None, everything: bool = False, limit: int | None = None) -> JobState:
+    """Dead letters back to a queue, newest push first: pending again, retries and last error kept. Needs a filter or ``everything``."""
+    chosen = dlq_chosen(state, dlq, queue, function, everything, limit).select("job_id").distinct()
     to = queue_key(F.lit(target))
     hit = chosen.select(F.col("job_id").alias("id"), F.lit(True).alias("hit"))
     jobs = state.jobs.join(hit, "id", "left").withColumns({"status": F.when(F.col("hit"), "PENDING").otherwise(F.col("status")), "queue_name": F.when(F.col("hit"), to).otherwise(F.col("queue_name"))}).drop("hit")
     entries = chosen.select(to.alias("queue_name"), "job_id", epoch_ms(now).cast("double").alias("score_ms"))
     left = state.dlq.join(chosen.withColumn("dlq_name", F.lit(dlq)), ["dlq_name", "job_id"], "left_anti")
-    return state.with_(jobs=jobs, queue=state.queue.unionByName(entries), dlq=left)
+    return queued(state.with_(jobs=jobs, dlq=left), entries)
 
 
 def status_histogram(state: JobState) -> DataFrame:

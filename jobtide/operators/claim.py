@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtide.functions.scalars import epoch_ms, plus_seconds, queue_key, runner_of
-from jobtide.operators.state import JobState, live
+from jobtide.operators.state import JobState, live, upsert
 from jobtide.settings import Settings
 
 _RANK = ("score_ms", "job_id")
@@ -19,11 +19,22 @@ def ready(state: JobState, now: Column, limit: int) -> DataFrame:
 
 
 def rank_page(state: JobState, start: int, stop: int) -> DataFrame:
-    """Entries of every queue by rank from ``start`` to ``stop``, both included; negative ranks count from the end."""
+    """Entries of every queue by rank from ``start`` to ``stop``, both included; negative ranks count from the end.
+
+    Of a page that counts from one end only the first entries of a queue from that end are kept before queues meet in a task.
+    """
     own = Window.partitionBy("queue_name")
-    rows = state.queue.withColumns({"rank": F.row_number().over(own.orderBy(*_RANK)) - 1, "n": F.count("*").over(own)})
-    at = lambda i: F.lit(i) if i >= 0 else F.col("n") + i
-    return rows.where(F.col("rank").between(at(start), at(stop))).select("queue_name", F.col("rank").cast("long").alias("rank"), "job_id", "score_ms")
+    forward, back = F.row_number().over(own.orderBy(*_RANK)), F.row_number().over(own.orderBy(*[F.desc(c) for c in _RANK]))
+    if start >= 0 and stop >= 0:
+        rows = state.queue.withColumn("nth", forward).where(F.col("nth") <= stop + 1).where(F.col("nth") > start).withColumn("rank", F.col("nth") - 1)
+    else:
+        sizes = state.queue.groupBy("queue_name").agg(F.count("*").alias("n"))
+        if start < 0 and stop < 0:
+            rows = state.queue.withColumn("nth", back).where(F.col("nth") <= -start).where(F.col("nth") >= -stop).join(sizes, "queue_name").withColumn("rank", F.col("n") - F.col("nth"))
+        else:
+            at = lambda i: F.lit(i) if i >= 0 else F.col("n") + i
+            rows = state.queue.withColumn("rank", forward - 1).join(sizes, "queue_name").where(F.col("rank").between(at(start), at(stop)))
+    return rows.select("queue_name", F.col("rank").cast("long").alias("rank"), "job_id", "score_ms")
 
 
 def stale(state: JobState) -> DataFrame:
@@ -99,3 +110,38 @@ def refreshed(state: JobState, owners: DataFrame, now: Column, seconds: int) ->
     mine = owners.select("job_id", "owner", F.lit(True).alias("mine"))
     locks = live(state.job_locks, now).join(mine, ["job_id", "owner"], "left")
     return state.with_(job_locks=locks.withColumn("expires_at", F.when(F.col("mine"), plus_seconds(now, F.lit(seconds))).otherwise(F.col("expires_at"))).select(*state.job_locks.columns))
+
+
+def lock_and_start(state: JobState, wanted: DataFrame, now: Column, worker: str, lock_seconds: int) -> tuple[JobState, DataFrame]:
+    """One lock and start for each of (queue_name, job_id): job_id, started. A job that is locked or not in that queue stays as it is and is not locked."""
+    one = wanted.select("queue_name", "job_id").distinct()
+    free = one.join(live(state.job_locks, now).select("job_id"), "job_id", "left_anti").select("queue_name", "job_id")
+    got = free.join(state.queue.select("queue_name", "job_id"), ["queue_name", "job_id"], "left_semi")
+    hit = got.select(F.col("job_id").alias("id"), F.lit(True).alias("hit"))
+    jobs = state.jobs.join(hit, "id", "left")
+    for c, v in (("status", F.lit("ACTIVE")), ("start_time", now), ("worker_id", F.lit(worker))):
+        jobs = jobs.withColumn(c, F.when(F.col("hit"), v).otherwise(F.col(c)))
+    locks = got.select("job_id", F.lit(worker).alias("owner"), plus_seconds(now, F.lit(lock_seconds)).alias("expires_at"))
+    active = got.select(F.lit(worker).alias("worker_id"), "job_id", (epoch_ms(now) / 1000.0).alias("start_s"))
+    told = wanted.select("job_id").join(hit.select(F.col("id").alias("job_id"), F.col("hit").alias("started")), "job_id", "left").select("job_id", F.coalesce("started", F.lit(False)).alias("started"))
+    return state.with_(jobs=jobs.drop("hit"), queue=state.queue.join(got, ["queue_name", "job_id"], "left_anti"), job_locks=live(state.job_locks, now).unionByName(locks), active=upsert(state.active, active, "worker_id", "job_id")), told
+
+
+def try_lock(state: JobState, wanted: DataFrame, now: Column) -> tuple[JobState, DataFrame]:
+    """Locks of (job_id, owner, seconds, seq) where no live one is: seq, got. The first of a job's wishes wins."""
+    first = F.row_number().over(Window.partitionBy("job_id").orderBy("seq")) == 1
+    rows = wanted.withColumn("first", first).join(live(state.job_locks, now).select("job_id", F.lit(True).alias("held")).distinct(), "job_id", "left").withColumn("got", F.col("first") & F.col("held").isNull())
+    locks = rows.where("got").select("job_id", "owner", plus_seconds(now, F.col("seconds")).alias("expires_at"))
+    return state.with_(job_locks=live(state.job_locks, now).unionByName(locks)), rows.select("seq", "got")
+
+
+def unlocked(state: JobState, ids: DataFrame, owner_only: bool = True) -> JobState:
+    """Locks of (job_id, owner) released; without ``owner_only`` whoever owns them."""
+    keys = ["job_id", "owner"] if owner_only else ["job_id"]
+    return state.with_(job_locks=state.job_locks.join(ids.select(*keys).distinct(), keys, "left_anti").select(*state.job_locks.columns))
+
+
+def capacity(state: JobState, limits: DataFrame) -> DataFrame:
+    """worker_id, free: how many jobs each worker of (worker_id, concurrency_limit) may still take; 0 means that it does not poll."""
+    running = state.active.groupBy("worker_id").agg(F.count("*").alias("running"))
+    return limits.select("worker_id", "concurrency_limit").join(running, "worker_id", "left").select("worker_id", F.greatest(F.lit(0).cast("long"), F.col("concurrency_limit") - F.coalesce("running", F.lit(0))).alias("free"))

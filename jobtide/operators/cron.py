@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtide.functions.scalars import epoch_ms, from_ms
@@ -55,36 +56,43 @@ def next_run(schedule: str, now: datetime) -> datetime | None:
 
 
 def next_runs(jobs: DataFrame, schedules: list[str], now: Column) -> DataFrame:
-    """next_run of each row of (schedule, ...); null where there is none within YEARS. ``schedules`` are the distinct ones, parsed on the driver.
+    """next_run of each row of (schedule, ...); null where there is none within YEARS. ``schedules`` are the distinct ones, parsed on the driver; ``now`` may be a column of the rows.
 
-    The rest of the current day is searched first, by hour, minute and second; then the first later day that matches has the smallest of each.
+    The rest of the current day is searched first, by hour, minute and second. Else the next day that matches is looked up in a calendar of each schedule's days, which
+    has a row for each day between the first and the last ``now`` and YEARS beyond; on it the smallest hour, minute and second count.
     """
+    spark = jobs.sparkSession
     known = F.create_map(*[x for s in schedules for x in (F.lit(s), F.array(*[F.array(*map(F.lit, v)) for v in fields(s)]))])
     base = epoch_ms(now) - F.pmod(epoch_ms(now), F.lit(60_000))
-    midnight = base - F.pmod(base, F.lit(DAY_MS))
-    rows = jobs.withColumn("f", known[F.col("schedule")])
+    rows = jobs.withColumn("base", base).withColumn("day", F.floor(F.col("base") / DAY_MS)).withColumn("f", known[F.col("schedule")])
+    low, high = rows.agg(F.min("day"), F.max("day")).first()
+    if low is None:
+        return jobs.withColumn("next_run", F.lit(None).cast("timestamp_ntz"))
     f = [F.col("f")[k] for k in range(len(RANGES))]
 
-    def matches(day: Column) -> Column:
-        t = from_ms(day)
-        return F.array_contains(f[3], F.dayofmonth(t)) & F.array_contains(f[4], F.month(t)) & F.array_contains(f[5], F.dayofweek(t))
+    t = from_ms(F.col("day") * DAY_MS)
+    matches = F.array_contains(f[3], F.dayofmonth(t)) & F.array_contains(f[4], F.month(t)) & F.array_contains(f[5], F.dayofweek(t))
+    calendar = spark.range(low, high + 366 * YEARS + 1).select(F.col("id").alias("day"), F.explode(known).alias("schedule", "f"))
+    after = Window.partitionBy("schedule").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    calendar = calendar.withColumn("on", matches).withColumn("later", F.min(F.when(F.col("on"), F.col("day"))).over(after)).where(F.col("day") <= high).select("schedule", "day", "on", "later")
 
     def first(values: Column, test: Callable[[Column], Column]) -> Column:
         return F.get(F.filter(values, test), F.lit(0))
 
     def at(day: Column, h: Column, m: Column, s: Column) -> Column:
-        return day + h.cast("long") * 3_600_000 + m.cast("long") * 60_000 + s.cast("long") * 1000
+        return day * DAY_MS + h.cast("long") * 3_600_000 + m.cast("long") * 60_000 + s.cast("long") * 1000
 
+    day, start = F.col("day"), F.col("base")
     smallest, largest = [F.array_min(x) for x in f[:3]], [F.array_max(x) for x in f[:3]]
-    # values stand in order: the first hour whose last time is after base, then the first such minute, then the first such second
-    hour = first(f[2], lambda h: at(midnight, h, largest[1], largest[0]) > base)
-    minute = first(f[1], lambda m: at(midnight, hour, m, largest[0]) > base)
-    second = first(f[0], lambda s: at(midnight, hour, minute, s) > base)
-    today = F.when(matches(midnight), at(midnight, hour, minute, second))
-    # the days that next_run looks at: those that begin before base + 366 * YEARS days; most schedules have one within a year
-    days = [F.sequence(midnight + a * DAY_MS, midnight + F.lit(b * DAY_MS), F.lit(DAY_MS)) for a, b in ((1, 366), (367, 366 * YEARS))]
-    later = F.coalesce(*[first(d, lambda d: matches(d) & (d < base + F.lit(366 * YEARS * DAY_MS))) for d in days])
-    return rows.withColumn("next_run", from_ms(F.coalesce(today, at(later, smallest[2], smallest[1], smallest[0])))).drop("f")
+    # values stand in order: the first hour whose last time is after the base, then the first such minute, then the first such second
+    hour = first(f[2], lambda h: at(day, h, largest[1], largest[0]) > start)
+    minute = first(f[1], lambda m: at(day, hour, m, largest[0]) > start)
+    second = first(f[0], lambda s: at(day, hour, minute, s) > start)
+    today = F.when(F.col("on"), at(day, hour, minute, second))
+    # the days that next_run looks at begin before the base and 366 * YEARS days
+    later = F.when(F.col("later") * DAY_MS < start + F.lit(366 * YEARS * DAY_MS), F.col("later"))
+    found = rows.join(calendar, ["schedule", "day"], "left")
+    return found.select(*jobs.columns, from_ms(F.coalesce(today, at(later, smallest[2], smallest[1], smallest[0]))).alias("next_run"))
 
 
 def fires(schedule: str, begin: datetime, ticks: int, tick_seconds: int = 30) -> list[datetime]:
@@ -99,6 +107,23 @@ def fires(schedule: str, begin: datetime, ticks: int, tick_seconds: int = 30) ->
     return out
 
 
+def due(rows: DataFrame, now: Column) -> DataFrame:
+    """Cron rows (schedule's next_run) with ``due``: the next run has come. A row without a next run yet is scheduled first, so it is not due."""
+    return rows.withColumn("due", F.coalesce(F.col("next_run") <= now, F.lit(False)))
+
+
+def tick_fires(crons: DataFrame, begin: datetime, ticks: int, tick_seconds: int = 30) -> DataFrame:
+    """(function_name, fired_at) of a table of crons (function_name, schedule) over a row of ticks, by the rule of ``fires``; each row is folded where it stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, schedule in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = fires(schedule, begin, ticks, tick_seconds)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.timestamp("us"))], names=["function_name", "fired_at"])
+
+    return crons.select("function_name", "schedule").mapInArrow(run, "function_name string, fired_at timestamp_ntz")
+
+
 def due_unlocked(due: DataFrame, state: JobState, now: Column) -> DataFrame:
     """Due cron rows (function_name, unique): a unique one is left out while its key is held."""
     keyed = due.withColumn("key", F.when(F.col("unique"), F.concat(F.lit("cron:"), "function_name")))

@@ -21,6 +21,10 @@ class RetryJob(Exception):
         self.defer_seconds = defer_seconds
 
 
+class Aborted(Exception):
+    """Raised by a handler whose work was called off: its outcome is an error of the type ``cancelled``, which is retried like any other."""
+
+
 @dataclass
 class Registry:
     handlers: dict[str, Callable[[dict[str, Any], int], Any]] = field(default_factory=dict)
@@ -58,6 +62,8 @@ class Registry:
             return "success", json.dumps(handler(json.loads(params or "{}"), attempt)), None, None, None
         except RetryJob as e:
             return "retry", None, None, str(e) or None, e.defer_seconds
+        except Aborted as e:
+            return "error", None, "cancelled", str(e) or "Job cancelled", None
         except TimeoutError as e:
             return "timeout", None, "timeout", str(e) or "Job execution timed out", None
         except Exception as e:  # noqa: BLE001  whatever a handler raises is its outcome
@@ -77,7 +83,7 @@ def run_handlers(requests: DataFrame, registry: Registry) -> DataFrame:
 
 
 def examples() -> Registry:
-    """Handlers to try: quick, echo, slow (a timeout), error, and retry until an attempt."""
+    """Handlers to try: quick, echo, slow (a timeout), error, abort, and retry until an attempt."""
     r = Registry()
 
     def error(params: dict, attempt: int) -> None:
@@ -86,6 +92,9 @@ def examples() -> Registry:
     def slow(params: dict, attempt: int) -> None:
         raise TimeoutError
 
+    def abort(params: dict, attempt: int) -> None:
+        raise Aborted
+
     def retry(params: dict, attempt: int) -> dict:
         if attempt < params.get("until_attempt", 2):
             raise RetryJob("not yet", params.get("defer"))
@@ -93,6 +102,6 @@ def examples() -> Registry:
 
     r.register("quick", lambda params, attempt: {"ok": True})
     r.register("echo", lambda params, attempt: params)
-    for name, f in (("error", error), ("slow", slow), ("retry", retry)):
+    for name, f in (("error", error), ("slow", slow), ("abort", abort), ("retry", retry)):
         r.register(name, f)
     return r

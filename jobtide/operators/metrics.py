@@ -31,9 +31,46 @@ def queue_wait(jobs: DataFrame) -> DataFrame:
     return jobs.where("start_time is not null").groupBy("queue_name").agg(F.count("*").alias("n"), F.avg(ms).alias("mean_ms"), F.percentile(ms, 0.5).alias("p50_ms"), F.percentile(ms, 0.95).alias("p95_ms"))
 
 
-def processed(attempts: DataFrame) -> DataFrame:
-    """Attempts and their duration by queue and outcome, with totals under null."""
-    return attempts.where(valid(F.col("duration_ms"))).rollup("queue_name", "outcome").agg(F.count("*").alias("attempts"), F.sum("duration_ms").alias("duration_ms"), F.grouping_id().cast("long").alias("level"))
+def processed(attempts: DataFrame, *labels: str) -> DataFrame:
+    """Attempts and their duration by queue, runner (where the attempts have one) and outcome, with totals under null."""
+    labels = labels or tuple(c for c in ("queue_name", "runner", "outcome") if c in attempts.columns)
+    return attempts.where(valid(F.col("duration_ms"))).rollup(*labels).agg(F.count("*").alias("attempts"), F.sum("duration_ms").alias("duration_ms"), F.grouping_id().cast("long").alias("level"))
+
+
+def enqueued(answers: DataFrame) -> DataFrame:
+    """Enqueues by queue and result, from (queue_name, status)."""
+    return counter(answers, "queue_name", "status")
+
+
+def claim_attempts(heads: DataFrame) -> DataFrame:
+    """Looked-at queue entries by queue and reason, from (queue_name, locked, missing): claimed, locked or missing; the first that holds of missing and locked."""
+    reason = F.when(F.col("missing"), "missing").when(F.col("locked"), "locked").otherwise("claimed")
+    return counter(heads.withColumn("reason", reason), "queue_name", "reason")
+
+
+def fetched(claims: DataFrame) -> DataFrame:
+    """Jobs fetched by queue."""
+    return counter(claims, "queue_name")
+
+
+def recovered(found: DataFrame) -> DataFrame:
+    """One row: orphans that were queued again, of those that ``recover.orphans`` found."""
+    return found.agg(F.count_if(F.col("action") == "requeue").alias("total"))
+
+
+def pressure(requests: DataFrame, limit: int) -> DataFrame:
+    """How full connections are when requests come, as a histogram of the share of ``limit`` in tenths: (conn, in_flight) to (at_least, observations)."""
+    return requests.groupBy((F.floor(F.least(F.col("in_flight") / limit, F.lit(1.0)) * 10) / 10).alias("at_least")).agg(F.count("*").alias("observations"))
+
+
+def expiries(rows: DataFrame) -> DataFrame:
+    """Deadlines that had passed by runner, from (runner, expired)."""
+    return counter(rows.where("expired"), "runner")
+
+
+def cancellations(cancels: DataFrame) -> DataFrame:
+    """Cancels by runner and scope: one request, or all of a job."""
+    return counter(cancels.withColumn("scope", F.when(F.col("request_id").isNull(), "job").otherwise("request")), "runner", "scope")
 
 
 def in_flight(attempts: DataFrame, by: str = "worker_id") -> DataFrame:
@@ -44,15 +81,22 @@ def in_flight(attempts: DataFrame, by: str = "worker_id") -> DataFrame:
 
 
 def runner_totals(attempts: DataFrame) -> DataFrame:
-    return attempts.groupBy("function_name", "outcome").agg(F.count("*").alias("jobs"), F.avg("duration_ms").alias("mean_ms"), F.max("duration_ms").alias("max_ms"))
+    """Attempts, mean and longest duration by runner (where the attempts have one), function and outcome."""
+    labels = [c for c in ("runner", "function_name", "outcome") if c in attempts.columns]
+    return attempts.groupBy(*labels).agg(F.count("*").alias("jobs"), F.avg("duration_ms").alias("mean_ms"), F.max("duration_ms").alias("max_ms"))
 
 
 def spans(attempts: DataFrame, jobs: DataFrame) -> DataFrame:
-    """What a trace says of each attempt: job, queue, function, worker, outcome, wait, duration, and the time left to the deadline, at least 0."""
+    """What a trace says of each attempt: job, queue, function, worker, outcome, wait, duration, the time left to the deadline, at least 0, and for a retry its delay.
+
+    The delay is what the attempt asked for in ``retry_after_seconds``, if it has that column, in milliseconds.
+    """
     j = jobs.select(F.col("id").alias("job_id"), "enqueue_time", "job_timeout_seconds")
     rows = attempts.join(j, "job_id", "left")
     left = F.greatest(F.lit(0.0), F.col("job_timeout_seconds") * 1000.0 - F.col("duration_ms"))
-    return rows.select("job_id", "attempt", "queue_name", "function_name", "worker_id", "outcome", queue_wait_ms(F.col("start_time"), F.col("enqueue_time")).alias("queue_wait_ms"), "duration_ms", left.alias("deadline_remaining_ms"))
+    asked = F.col("retry_after_seconds") if "retry_after_seconds" in attempts.columns else F.lit(None).cast("double")
+    delay = F.when(F.col("outcome") == "retry", asked * 1000.0)
+    return rows.select(delay.alias("retry_delay_ms"), "job_id", "attempt", "queue_name", "function_name", "worker_id", "outcome", queue_wait_ms(F.col("start_time"), F.col("enqueue_time")).alias("queue_wait_ms"), "duration_ms", left.alias("deadline_remaining_ms"))
 
 
 def poll_cycles(polls: DataFrame) -> DataFrame:

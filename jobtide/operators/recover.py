@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.scalars import dlq_key, epoch_ms, known_status, plus_seconds, seconds_between
 from jobtide.operators.state import JobState, live
+from jobtide.schemas import JOB
 from jobtide.settings import Settings
 
 
@@ -54,15 +55,21 @@ def release(state: JobState, claims: DataFrame, now: Column) -> JobState:
 
 
 def decoded(raw: DataFrame, s: Settings) -> DataFrame:
-    """Text records as typed jobs: a record without a known status or a readable enqueue time is malformed; other fields fall back to their defaults."""
-    time = lambda c: F.try_to_timestamp(F.col(c)).cast("timestamp_ntz")
-    long = lambda c: F.col(c).try_cast("long")
-    params = F.when(F.try_parse_json("job_params").isNotNull(), F.col("job_params")).otherwise("{}")
-    return raw.select(
-        F.coalesce("id", "key_id").alias("id"), F.coalesce("function_name", F.lit("")).alias("function_name"), params.alias("job_params"), known_status(F.col("status")).alias("status"), time("enqueue_time").alias("enqueue_time"),
-        F.coalesce(long("current_retries"), F.lit(0)).alias("current_retries"), F.coalesce(long("max_retries"), F.lit(s.default_max_retries)).alias("max_retries"), "dlq_name", "job_unique_key",
-        (known_status(F.col("status")).isNull() | time("enqueue_time").isNull()).alias("is_malformed"),
-    )
+    """Text records as typed jobs: a record without a known status or a readable enqueue time is malformed; other fields fall back to their defaults or null.
+
+    ``key_id`` names a record that lacks its id; fields that the table does not have are null.
+    """
+    have = set(raw.columns)
+    col = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    time = lambda c: F.try_to_timestamp(col(c)).cast("timestamp_ntz")
+    long = lambda c: col(c).try_cast("long")
+    maps = lambda c: F.from_json(col(c), "map<string,string>")
+    typed = {
+        "id": F.coalesce(col("id"), col("key_id")), "function_name": F.coalesce(col("function_name"), F.lit("")), "job_params": F.when(F.try_parse_json(col("job_params")).isNotNull(), col("job_params")).otherwise("{}"),
+        "status": known_status(col("status")), "current_retries": F.coalesce(long("current_retries"), F.lit(0).cast("long")), "max_retries": F.coalesce(long("max_retries"), F.lit(s.default_max_retries).cast("long")),
+        "job_timeout_seconds": long("job_timeout_seconds"), "result_ttl_seconds": long("result_ttl_seconds"), "result": F.when(F.lower(col("result")) != "null", col("result")), "trace_context": maps("trace_context"), "correlation_context": maps("correlation_context"),
+    } | {c: time(c) for c in ("enqueue_time", "start_time", "next_scheduled_run_time", "completion_time")} | {c: col(c) for c in ("job_unique_key", "last_error", "queue_name", "dlq_name", "worker_id")}
+    return raw.select(*[typed[c].alias(c) for c in JOB.names], (known_status(col("status")).isNull() | time("enqueue_time").isNull()).alias("is_malformed"))
 
 
 def quarantined(jobs: DataFrame, s: Settings) -> DataFrame:
@@ -81,11 +88,22 @@ def heartbeat(beats: DataFrame, s: Settings) -> DataFrame:
     return beats.withColumn("expires_at", plus_seconds(F.col("timestamp"), F.lit(ttl)))
 
 
+def drained(state: JobState, workers: DataFrame, now: Column) -> JobState:
+    """When workers (worker_id) stop: what they still run is given back, as in ``release``."""
+    running = state.active.join(workers.select("worker_id"), "worker_id", "left_semi").select("job_id", F.col("worker_id").alias("owner"))
+    return release(state, running, now)
+
+
 def health_report(state: JobState, now: Column) -> DataFrame:
     """A row for each live worker with its seconds left."""
     return live(state.health, now).select("worker_id", "status", "active_jobs", "concurrency_limit", F.array_join("queues", ",").alias("queues"), F.greatest(F.lit(0.0), seconds_between(F.col("expires_at"), now)).alias("ttl_s"))
 
 
+def health_verdict(state: JobState, now: Column) -> DataFrame:
+    """One row: verdict FAIL if no worker is alive, else OK, and how many are."""
+    return live(state.health, now).agg(F.count_distinct("worker_id").alias("workers")).select(F.when(F.col("workers") == 0, "FAIL").otherwise("OK").alias("verdict"), "workers")
+
+
 def invariants(state: JobState) -> DataFrame:
     """Broken rules, if any: a job with two lock owners, one entry twice in a queue, a job both queued and dead."""
     two = state.job_locks.groupBy("job_id").agg(F.count_distinct("owner").alias("n")).where("n > 1").select(F.lit("two owners").alias("rule"), "job_id")

@@ -11,8 +11,8 @@ from jobtide.settings import Settings
 
 
 def saved(state: JobState, jobs: DataFrame) -> JobState:
-    """Whole job rows, in place of those with their ids; of several rows with an id the last by enqueue time stays."""
-    last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc_nulls_last("enqueue_time")))
+    """Whole job rows, in place of those with their ids; of several rows with an id the last by enqueue time stays, of equal times the greatest as JSON."""
+    last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc_nulls_last("enqueue_time"), F.to_json(F.struct(*jobs.columns)).desc()))
     return state.with_(jobs=upsert(state.jobs, jobs.withColumn("at", last).where("at = 1").drop("at"), "id"))
 
 
@@ -40,13 +40,14 @@ def with_results(state: JobState, results: DataFrame, now: Column) -> DataFrame:
 
 
 def dead(state: JobState, jobs: DataFrame, now: Column, s: Settings) -> JobState:
-    """Jobs (id, error) moved to their dead-letter list with an event."""
+    """Jobs (id, error) moved to their dead-letter list with an event; their rows then last for ``dlq_ttl_seconds``."""
     e = jobs.select("id", F.col("error").alias("new_error"), F.lit(True).alias("hit"))
-    rows = state.jobs.join(e, "id", "left")
-    new = {"status": F.lit("FAILED"), "last_error": F.col("new_error"), "completion_time": now}
+    old = state.jobs if "expires_at" in state.jobs.columns else state.jobs.withColumn("expires_at", F.lit(None).cast("timestamp_ntz"))
+    rows = old.join(e, "id", "left")
+    new = {"status": F.lit("FAILED"), "last_error": F.col("new_error"), "completion_time": now, "expires_at": plus_seconds(now, F.lit(s.dlq_ttl_seconds))}
     hit = rows.where("hit")
     pushed = hit.select(dlq_key(F.coalesce("dlq_name", F.lit(s.default_dlq_name))).alias("dlq_name"), F.col("id").alias("job_id"), (epoch_ms(now) * 1_000_000 + F.pmod(F.xxhash64("id"), F.lit(1_000_000))).alias("pushed_seq"))
-    out = state.with_(jobs=rows.select(*[F.when(F.col("hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in state.jobs.columns]), dlq=state.dlq.unionByName(pushed))
+    out = state.with_(jobs=rows.select(*[F.when(F.col("hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in old.columns]), dlq=state.dlq.unionByName(pushed))
     if state.job_events is not None:
         out = out.with_(job_events=state.job_events.unionByName(hit.select(F.col("id").alias("job_id"), F.lit("failed").alias("event"), F.lit("FAILED").alias("status"), now.alias("ts"))))
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobtide.functions import scalars as fn
 from jobtide.operators import admin, admit, claim, cron, handlers, metrics, outcome, recover, sinks
 from jobtide.operators.state import empty
-from jobtide.plans import twins
+from jobtide.plans import contracts, twins
 from jobtide.settings import Settings
 from jobtide.sources import fixtures as fx
 from jobtide.sources import lookups, wire
@@ -49,7 +49,7 @@ _over_state("src11_ready", lambda s: claim.ready(s, fx.now(), 50).select("queue_
 _over_state("src12_rank_page", lambda s: claim.rank_page(s, -30, -5))
 _over_state("src15_sizes", lookups.sizes)
 _over_state("src16_lock_ttl", lambda s: lookups.lock_ttls(s, fx.now()))
-_over_state("src17_status", lambda s: lookups.statuses(s, s.jobs.where(F.col("id").cast("long") % 3 == 0)))
+_over_state("src17_status", lambda s: lookups.statuses(s, s.jobs.select("id").unionByName(s.jobs.select(F.concat(F.lit("x"), "id").alias("id")))))
 _over_state("src18_wait", lambda s: lookups.completed_within(s, s.jobs.select("id", F.col("enqueue_time").alias("asked_at"), F.lit(60).alias("timeout_s"))))
 _over_state("clm1_claim", lambda s: claim.claimable(s, fx.now(), 25).select("queue_name", "job_id", "score_ms", "rn"))
 _over_state("clm2_lock_ttl", lambda s: s.jobs.select("id", claim.lock_ms(F.col("job_timeout_seconds"), 60, 360_000).alias("lock_ms")))
@@ -85,8 +85,10 @@ def adm17_dlq_requeue(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def src7_lookup(spark: SparkSession, d: str) -> DataFrame:
-    ids = spark.range(0, 2000, 7).select(F.col("id").alias("at"), F.col("id").cast("string").alias("id"))
-    return lookups.lookup(fx.state(spark, d), ids).select("at", "id", "found", "status", "function_name")
+    s = fx.state(spark, d)
+    k = F.col("id").cast("long")
+    ids = s.jobs.select((k * 2).alias("at"), "id").unionByName(s.jobs.select((k * 2 + 1).alias("at"), F.concat(F.lit("x"), "id").alias("id")))
+    return lookups.lookup(s, ids).select("at", "id", "found", "status", "function_name")
 
 
 @query
@@ -111,7 +113,7 @@ def enq4_duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def enq5_rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    return admit.rate_limited(fx.requests(spark, d), 86_400).withColumn("status", admit.rate_limit_status(F.col("admitted")))
+    return admit.rate_limited(fx.requests(spark, d), 86_400).drop("refused").withColumn("status", admit.rate_limit_status(F.col("admitted")))
 
 
 @query
@@ -132,7 +134,8 @@ def enq10_lock_ttl(spark: SparkSession, d: str) -> DataFrame:
 @query
 def enq12_mode(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
-    return fx.requests(spark, d).select("seq", admit.mode(none, F.when(F.col("seq") % 2 == 0, "r"), F.when(F.col("seq") % 3 == 0, "d")).alias("mode"))
+    explicit = F.when(F.col("seq") % 5 == 0, F.element_at(F.array(*map(F.lit, ("unique", "deferred", "rate_limit", "debounce", "enqueue"))), (F.col("seq") % 25 / 5 + 1).cast("int"))).otherwise(none)
+    return fx.requests(spark, d).select("seq", admit.mode(explicit, F.when(F.col("seq") % 2 == 0, "r"), F.when(F.col("seq") % 3 == 0, "d")).alias("mode"))
 
 
 @query
@@ -140,7 +143,7 @@ def enq13_validation(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("seq")
     name = F.when(k % 11 == 0, " ").otherwise(F.col("function_name"))
     window = F.when(k % 4 == 3, F.lit(float("nan"))).when(k % 4 == 2, F.lit(0.0)).otherwise(F.lit(1.5))
-    return fx.requests(spark, d).select("seq", admit.rejection(name, F.lit("q"), F.when(k % 7 == 0, 0).otherwise(1), F.when(k % 5 == 0, -1).otherwise(1), window).alias("reason"))
+    return fx.requests(spark, d).select("seq", admit.rejection(name, F.when(k % 13 == 0, "").otherwise("q"), F.when(k % 7 == 0, 0).otherwise(1), F.when(k % 5 == 0, -1).otherwise(1), window).alias("reason"))
 
 
 @query
@@ -166,13 +169,15 @@ def clm11_concurrency(spark: SparkSession, d: str) -> DataFrame:
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
     last = fx.attempts(spark, d).groupBy("job_id").agg(F.max_by("outcome", "attempt").alias("status"))
-    return last.select("job_id", "status", none.alias("error_type"), none.alias("error_message"), F.lit('{"ok":1}').alias("result"), F.lit(None).cast("double").alias("retry_after_seconds"))
+    k = F.col("job_id").cast("long")
+    kind = F.when(F.col("status") == "error", F.when(k % 4 == 0, "handler_not_found").when(k % 4 == 1, "transport_error")).otherwise(none)
+    return last.select("job_id", "status", kind.alias("error_type"), F.when(k % 5 == 0, "given").otherwise(none).alias("error_message"), F.lit('{"ok":1}').alias("result"), F.when(k % 6 == 0, k % 100 - 10.5).alias("retry_after_seconds"))
 
 
 @query
 def out3_transition(spark: SparkSession, d: str) -> DataFrame:
     t = outcome.transitions(fx.jobs(spark, d), _outcomes(spark, d), fx.now(), SETTINGS)
-    return t.select("id", "kind", "status", "current_retries", "last_error", "score_ms", "to_dlq")
+    return t.select("id", "kind", "status", "current_retries", "last_error", "score_ms", "to_dlq", "expires_at")
 
 
 @query
@@ -186,6 +191,12 @@ def out8_dlq_growth(spark: SparkSession, d: str) -> DataFrame:
     return s.dlq.groupBy("dlq_name").agg(F.count("*").alias("n"))
 
 
+@query
+def out9_retried(spark: SparkSession, d: str) -> DataFrame:
+    """Queue entries after all outcomes: a retried job that was queued already has one entry, with its new score."""
+    return outcome.apply_outcomes(fx.state(spark, d), _outcomes(spark, d), fx.now(), SETTINGS).queue
+
+
 @query
 def out12_deadline(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.jobs(spark, d).where("status = 'ACTIVE' and job_timeout_seconds is not null")
@@ -211,7 +222,7 @@ def out14_busy(spark: SparkSession, d: str) -> DataFrame:
     start = fn.epoch_ms(F.col("start_time"))
     edges = F.array(F.struct(start.alias("ts"), F.lit(1).alias("delta")), F.struct((start + F.col("duration_ms").cast("long") * 1000).alias("ts"), F.lit(-1).alias("delta")))
     found = outcome.busy(a.select(F.col("worker_id").alias("conn"), "request_id", F.inline(edges)), 8)
-    return found.groupBy("conn").agg(F.count_if("busy").alias("busy"), F.count_if(F.col("delta") > 0).alias("requests"))
+    return found.select("conn", "request_id", "busy")
 
 
 @query
@@ -246,21 +257,6 @@ def rec8_stale(spark: SparkSession, d: str) -> DataFrame:
     return claim.stale(s.with_(jobs=s.jobs.where(F.col("id").cast("long") % 13 != 0))).select("job_id", "queue_name")
 
 
-@query
-def crn1_next(spark: SparkSession, d: str) -> DataFrame:
-    schedules = ["0 * * * * *", "0 30 6 * * *", "15,45 */7 1-3 * * *", "0 0 0 1 1 *"]
-    rows = spark.createDataFrame([(s,) for s in schedules], "schedule string")
-    return cron.next_runs(rows, schedules, fx.now())
-
-
-@query
-def crn4_unique(spark: SparkSession, d: str) -> DataFrame:
-    due = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "function_name string, unique boolean")
-    held = spark.range(1).select(F.lit("cron:c").alias("key"), F.lit("1").alias("job_id"), fn.plus_seconds(fx.now(), F.lit(5)).alias("expires_at"))
-    expired = held.select(F.lit("cron:a").alias("key"), "job_id", fn.plus_seconds(fx.now(), F.lit(-5)).alias("expires_at"))
-    return cron.due_unlocked(due, fx.state(spark, d).with_(unique_locks=held.unionByName(expired)), fx.now())
-
-
 @query
 def fn1_names(spark: SparkSession, d: str) -> DataFrame:
     j = fx.jobs(spark, d)
@@ -276,7 +272,7 @@ def fn3_json_path(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fn6_correlation(spark: SparkSession, d: str) -> DataFrame:
-    return fx.jobs(spark, d).select("id", fn.correlation(F.col("job_params"), F.col("trace_context"), {"session_id": "session.id", "traceparent": "none", "k": "params.k"}).alias("correlation"))
+    return fx.jobs(spark, d).select("id", F.to_json(fn.correlation(F.col("job_params"), F.col("trace_context"), {"session_id": "session.id", "traceparent": "none", "k": "params.k"})).alias("correlation"))
 
 
 @query
@@ -302,7 +298,7 @@ def snk6_results(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def met12_spans(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.spans(fx.attempts(spark, d), fx.jobs(spark, d)).drop("worker_id")
+    return metrics.spans(fx.attempts(spark, d), fx.jobs(spark, d)).drop("worker_id", "retry_delay_ms")
 
 
 @query
@@ -319,9 +315,10 @@ def src24_generated(spark: SparkSession, d: str) -> DataFrame:
 @query
 def udf3_outcomes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("id").cast("long") % 5
-    name = F.when(k == 0, "echo").when(k == 1, "error").when(k == 2, "slow").when(k == 3, "retry").otherwise("missing")
+    name = F.when(k == 0, "echo").when(k == 1, "error").when(k == 2, "slow").when(k == 3, "retry").when(F.col("id").cast("long") % 2 == 0, "abort").otherwise("missing")
     rows = fx.jobs(spark, d).select(F.col("id").alias("request_id"), F.col("id").alias("job_id"), name.alias("handler"), F.col("job_params").alias("params"), (F.col("current_retries") + 1).alias("attempt"))
     return handlers.run_handlers(rows, handlers.examples()).select("job_id", "status", "error_type")
 
 
-ORACLE_SQL = {k: v for k, v in twins.SQL.items() if k in QUERIES}
+QUERIES |= contracts.QUERIES
+ORACLE_SQL = {k: v for k, v in (twins.SQL | contracts.SQL).items() if k in QUERIES}

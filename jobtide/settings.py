@@ -40,9 +40,19 @@ class Settings:
         for name in ("default_max_retries", "default_job_timeout_seconds", "worker_concurrency", "default_unique_job_lock_ttl_seconds"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
-        for name in ("base_retry_delay_seconds", "max_retry_delay_seconds", "default_poll_delay_seconds"):
+        for name in ("base_retry_delay_seconds", "max_retry_delay_seconds", "default_poll_delay_seconds", "worker_health_check_ttl_buffer_seconds"):
             if not 0 <= getattr(self, name) < float("inf"):
                 raise ValueError(f"{name} must be finite and not negative")
+        if not 0 < self.worker_health_check_interval_seconds < float("inf"):
+            raise ValueError("worker_health_check_interval_seconds must be finite and positive")
+        if self.default_lock_timeout_extension_seconds < 0:
+            raise ValueError("default_lock_timeout_extension_seconds must not be negative")
+        for name in ("default_queue_name", "default_dlq_name", "default_runner_name"):
+            if not getattr(self, name).strip():
+                raise ValueError(f"{name} cannot be empty")
+        for queue, runner in self.runner_routes.items():
+            if not queue.removeprefix(QUEUE_PREFIX).strip() or not runner.strip():
+                raise ValueError(f"route {queue!r} to {runner!r} has an empty name")
 
 
 def deep_merge(base: dict[str, Any], over: dict[str, Any]) -> dict[str, Any]:

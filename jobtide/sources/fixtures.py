@@ -52,7 +52,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("status") == "RETRYING", plus_seconds(F.col("enqueue_time"), key % 50 + 11)).alias("next_scheduled_run_time"),
         F.lit(5).cast("long").alias("max_retries"),
         F.when(key % 6 != 0, 30 * (1 + key % 10)).alias("job_timeout_seconds"),
-        F.lit(86_400).cast("long").alias("result_ttl_seconds"),
+        F.when(key % 11 != 0, 86_400 * (key % 3)).alias("result_ttl_seconds"),
         F.when(key % 8 == 0, F.concat(F.lit("u"), (cust % 50).cast("string"))).alias("job_unique_key"),
         end.alias("completion_time"),
         F.when(F.col("status") == "COMPLETED", F.lit('{"ok":true}')).alias("result"),

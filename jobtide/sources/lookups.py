@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtide.functions.scalars import epoch_ms, known_status, seconds_between
@@ -58,3 +58,31 @@ def sizes(state: JobState) -> DataFrame:
 def lock_ttls(state: JobState, now: Column) -> DataFrame:
     """Milliseconds left of each unique lock, at least 0."""
     return state.unique_locks.select("key", "job_id", F.greatest(F.lit(0).cast("long"), epoch_ms(F.col("expires_at")) - epoch_ms(now)).alias("ttl_ms"))
+
+
+def job(state: JobState, job_id: str) -> DataFrame:
+    """One job, typed; no row if there is none."""
+    return state.jobs.where(F.col("id") == job_id)
+
+
+def dead_letters(state: JobState) -> DataFrame:
+    """Every dead-letter list from its newest push on: dlq_name, at (from 0), job_id."""
+    order = Window.partitionBy("dlq_name").orderBy(F.desc("pushed_seq"), "job_id")
+    return state.dlq.select("dlq_name", (F.row_number().over(order) - 1).cast("long").alias("at"), "job_id")
+
+
+def active_jobs(state: JobState, worker_id: str | None = None) -> DataFrame:
+    """The active ids of one worker, or of all, in the order of their start: worker_id, at (from 0), job_id."""
+    rows = state.active if worker_id is None else state.active.where(F.col("worker_id") == worker_id)
+    return rows.select("worker_id", (F.row_number().over(Window.partitionBy("worker_id").orderBy("start_s", "job_id")) - 1).cast("long").alias("at"), "job_id")
+
+
+def queued_or_not(state: JobState, asked: DataFrame) -> DataFrame:
+    """(queue_name, job_id, queued) for each (queue_name, job_id) asked for."""
+    there = state.queue.select("queue_name", "job_id", F.lit(True).alias("there")).distinct()
+    return asked.join(there, ["queue_name", "job_id"], "left").select("queue_name", "job_id", F.coalesce("there", F.lit(False)).alias("queued"))
+
+
+def lock_owners(state: JobState, ids: DataFrame, now: Column) -> DataFrame:
+    """(job_id, owner) for each job_id asked for; a lock that has expired has no owner."""
+    return ids.select("job_id").join(live(state.job_locks, now).select("job_id", "owner"), "job_id", "left")

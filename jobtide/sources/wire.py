@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.functions.scalars import frame
@@ -63,21 +64,27 @@ def runner_events(lines: DataFrame, runner: str, now: str) -> DataFrame:
     return lines.select(F.map_concat(given, F.map_filter(filled, lambda k, v: ~F.array_contains(F.map_keys(given), k))).alias("event"))
 
 
+def _drawn(n: Column, seed: int, salt: int, most: int) -> Column:
+    """A number below ``most``, the same for the same n, seed and salt: the upper bits of one step of a linear congruential generator."""
+    mixed = F.pmod((F.pmod(n, F.lit(1 << 31)) + (seed * 7919 + salt * 104_729)) * 1_103_515_245 + 12_345, F.lit(1 << 31))
+    return F.pmod(F.shiftright(mixed, 16), F.lit(most))
+
+
 def generated_jobs(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     """Synthetic jobs, the same for the same seed: function, queue, status and age drawn from small sets."""
-    pick = lambda salt, *v: F.element_at(F.array(*map(F.lit, v)), (F.pmod(F.xxhash64("n", F.lit(seed), F.lit(salt)), F.lit(len(v))) + 1).cast("int"))
+    pick = lambda salt, *v: F.element_at(F.array(*map(F.lit, v)), (_drawn(F.col("n"), seed, salt, len(v)) + 1).cast("int"))
     return spark.range(n).withColumnRenamed("id", "n").select(
         F.concat(F.lit("gen-"), F.col("n").cast("string")).alias("id"), pick(1, *[f"fn_{i}" for i in range(10)]).alias("function_name"), F.concat(F.lit(QUEUE_PREFIX), pick(2, "default", "high", "low", "bulk")).alias("queue_name"),
-        pick(3, "PENDING", "ACTIVE", "COMPLETED", "FAILED").alias("status"), F.pmod(F.xxhash64("n", F.lit(seed), F.lit(4)), F.lit(86_400)).alias("age_s"),
+        pick(3, "PENDING", "ACTIVE", "COMPLETED", "FAILED").alias("status"), _drawn(F.col("n"), seed, 4, 86_400).cast("long").alias("age_s"),
     )
 
 
-def generated_heartbeats(spark: SparkSession, workers: int, beats: int, interval_s: int = 60, start: str = "2024-01-01 00:00:00") -> DataFrame:
+def generated_heartbeats(spark: SparkSession, workers: int, beats: int, interval_s: int = 60, start: str = "2024-01-01 00:00:00", seed: int = 1) -> DataFrame:
     """Heartbeats of ``workers`` at a fixed interval."""
     n = F.col("n")
     at = F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.floor(n / workers) * interval_s).cast("decimal(18,6)"))
     return spark.range(workers * beats).withColumnRenamed("id", "n").select(
-        F.concat(F.lit("gen-w"), (n % workers).cast("string")).alias("worker_id"), at.alias("timestamp"), F.when(F.pmod(F.xxhash64("n"), F.lit(4)) == 0, "idle").otherwise("running").alias("status"), F.pmod(F.xxhash64("n", F.lit(1)), F.lit(8)).alias("active_jobs")
+        F.concat(F.lit("gen-w"), (n % workers).cast("string")).alias("worker_id"), at.alias("timestamp"), F.when(_drawn(n, seed, 5, 4) == 0, "idle").otherwise("running").alias("status"), _drawn(n, seed, 6, 8).cast("long").alias("active_jobs")
     )
 
 
@@ -86,7 +93,31 @@ def generated_load(spark: SparkSession, per_second: int) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.concat(F.lit("load-"), F.col("value").cast("string")).alias("id"), "timestamp")
 
 
-def restart_for(paths: DataFrame, include: list[str], ignore: list[str]) -> DataFrame:
-    """Changed paths that call for a restart: some include glob matches and no ignore glob does."""
-    regex = lambda globs: "|".join("^" + g.replace(".", r"\.").replace("**/", "(?:.*/)?").replace("*", "[^/]*").replace("(?:.[^/]*/)?", "(?:.*/)?") + "$" for g in globs) or "$^"
-    return paths.withColumn("restart", F.col("path").rlike(regex(include)) & ~F.col("path").rlike(regex(ignore)))
+def _globs(globs: list[str]) -> str:
+    """A regular expression for paths that match a glob, as a whole or by their last part; ``**/`` stands for any folders."""
+    one = lambda g: "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t, re.escape(t)) for t in re.split(r"(\*\*/|\*\*|\*|\?)", g) if t)
+    return "|".join(f"^(?:.*/)?{one(g)}$" if "/" not in g else f"^{one(g)}$" for g in globs) or "$^"
+
+
+def _gitignore(lines: list[str], path: Column) -> Column:
+    """Whether a gitignore file names a path or a folder on its way; the last line that matches decides, ``!`` takes a path back."""
+    verdict = F.lit(False)
+    for line in lines:
+        pattern = line.rstrip()
+        if not pattern or pattern.startswith("#"):
+            continue
+        back = pattern.startswith("!")
+        pattern = pattern.removeprefix("!")
+        anchored = "/" in pattern.rstrip("/")
+        folder = pattern.endswith("/")
+        body = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t, re.escape(t)) for t in re.split(r"(\*\*/|\*\*|\*|\?)", pattern.strip("/")) if t)
+        regex = f"^{'' if anchored else '(?:.*/)?'}{body}{'/.*' if folder else '(?:/.*)?'}$"
+        verdict = F.when(path.rlike(regex), F.lit(not back)).otherwise(verdict)
+    return verdict
+
+
+def restart_for(paths: DataFrame, include: list[str], ignore: list[str], gitignore: list[str] | None = None) -> DataFrame:
+    """Changed paths that call for a restart: no line of ``gitignore`` and no ignore glob names them, and some include glob does, or there is none."""
+    path = F.col("path")
+    wanted = path.rlike(_globs(include)) if include else F.lit(True)
+    return paths.withColumn("restart", wanted & ~path.rlike(_globs(ignore)) & ~_gitignore(gitignore or [], path))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobtide import settings
 from jobtide.functions import scalars as fn
-from jobtide.client import Client, submission
+from jobtide.client import Client, checked, submission
 from jobtide.operators import admit, claim, cron, handlers, outcome, recover, sinks
 from jobtide.operators.state import by_glob, empty, insert_new, patched, upsert
 from jobtide.sources import fixtures as fx
@@ -101,9 +101,9 @@ def test_claim_step(spark):
 
 
 def test_outcomes(spark):
-    job = dict(id="1", current_retries=1, max_retries=3, queue_name="queue:a", dlq_name=None, last_error="old", result=None, next_scheduled_run_time=None, job_unique_key="u", result_ttl_seconds=60)
+    job = dict(id="1", current_retries=1, max_retries=3, queue_name="queue:a", dlq_name=None, last_error="old", result=None, next_scheduled_run_time=None, job_unique_key="u", result_ttl_seconds=60, job_timeout_seconds=9)
     cases = [("success", None, None, "COMPLETED", 1), ("retry", None, 7.0, "RETRYING", 2), ("error", None, None, "RETRYING", 2), ("timeout", None, None, "FAILED", 2), ("error", "handler_not_found", None, "FAILED", 2)]
-    jobs = spark.createDataFrame([{**job, "id": str(i)} for i in range(len(cases))], "id string, current_retries long, max_retries long, queue_name string, dlq_name string, last_error string, result string, next_scheduled_run_time timestamp_ntz, job_unique_key string, result_ttl_seconds long")
+    jobs = spark.createDataFrame([{**job, "id": str(i)} for i in range(len(cases))], "id string, current_retries long, max_retries long, queue_name string, dlq_name string, last_error string, result string, next_scheduled_run_time timestamp_ntz, job_unique_key string, result_ttl_seconds long, job_timeout_seconds long")
     out = spark.createDataFrame([(str(i), c[0], c[1], None, "{}", c[2]) for i, c in enumerate(cases)], "job_id string, status string, error_type string, error_message string, result string, retry_after_seconds double")
     now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     rows = {r["id"]: r for r in outcome.transitions(jobs, out, now, S).collect()}
@@ -111,6 +111,7 @@ def test_outcomes(spark):
         assert (rows[str(i)]["status"], rows[str(i)]["current_retries"]) == c[3:]
     base = 1704067200000
     assert rows["1"]["score_ms"] == base + 7000 and rows["2"]["score_ms"] == base + 10000 and rows["3"]["to_dlq"] == "dlq:default" and rows["0"]["last_error"] == "old"
+    assert rows["3"]["last_error"] == "Job timed out after 9s." and rows["4"]["last_error"] == "Handler not found" and (rows["0"]["expires_at"] - dt.datetime(2024, 1, 1)).seconds == 60
 
 
 def test_recovery(spark):
@@ -141,12 +142,44 @@ def test_cron_beyond_a_day(spark):
     assert cron.next_run("30 5 0 29 2 1", dt.datetime(2024, 1, 2)) == dt.datetime(2032, 2, 29, 0, 5, 30)
 
 
+def test_registry():
+    r, seen = handlers.Registry(), []
+    r.register("f", lambda p, n: p["x"])
+    with pytest.raises(ValueError):
+        r.register("f", len)
+    with pytest.raises(ValueError):
+        r.register(" ", len)
+    assert r.run("f", '{"x": 2}', 1)[:2] == ("success", "2")
+    r.register("f", lambda p, n: p["x"] + 1, replace=True)  # the last registration wins
+    r.hook = lambda *call: seen.append(call)
+    assert r.run("f", '{"x": 2}', 1)[:2] == ("success", "3") and r.run("f", "{}", 4)[2] == "KeyError" and seen == [("f", 1, "success"), ("f", 4, "error")]
+    r.unregister("f")
+    r.unregister("none")
+    assert r.names() == [] and r.run("f", None, 1)[2] == "handler_not_found"
+    r.register("g", len)
+    r.clear()
+    assert r.names() == []
+
+
+def test_settings_rules():
+    for bad in ({"default_job_timeout_seconds": 0}, {"max_retry_delay_seconds": float("nan")}, {"base_retry_delay_seconds": -1.0}, {"worker_health_check_interval_seconds": 0.0}, {"default_lock_timeout_extension_seconds": -1}, {"default_queue_name": " "}, {"runner_routes": {"queue:": "x"}}, {"runner_routes": {"queue:a": ""}}):
+        with pytest.raises(ValueError):
+            settings.Settings(**bad)
+    assert settings.env_overrides({"JOBTIDE_DEFAULT_MAX_RETRIES": "3", "JOBTIDE_UNKNOWN": "1"}) == {"default_max_retries": 3}
+
+
+def test_jitter_and_capacity(spark):
+    got = [r[0] for r in spark.range(2000).select(admit.jitter(0.1, 0.5, 7)).collect()]
+    assert 0.05 <= min(got) < 0.06 and 0.14 < max(got) <= 0.15
+    assert all(0 < r[0] < 0.2 for r in spark.range(100).select(admit.jitter(0.1, 5.0, 7)).collect())
+
+
 def test_handlers():
     r = handlers.examples()
     with pytest.raises(ValueError):
         r.register("echo", len)
     assert r.run("retry", "{}", 1)[:1] == ("retry",) and r.run("retry", "{}", 2)[0] == "success" and r.run("none", None, 1)[2:4] == ("handler_not_found", "No handler registered for function 'none'")
-    assert r.names() == ["echo", "error", "quick", "retry", "slow"]
+    assert r.names() == ["abort", "echo", "error", "quick", "retry", "slow"] and r.run("abort", None, 1)[2] == "cancelled"
 
 
 def test_wire(spark):
@@ -183,8 +216,19 @@ def test_client(spark):
     assert got == {0: ("j0", True), 1: ("j0", False), 2: ("j2", True), 3: ("j3", True)} and c.state.jobs.count() == 3
     c = Client(empty(spark), S)
     assert {x["seq"]: x["job_id"] for x in c.enqueue_with_rate_limit(r, 10).collect()} == {0: "j0", 1: None, 2: "j2", 3: "j3"}
+    assert c.state.jobs.count() == 3
+    more = requests(spark, [("a", 75), ("a", 200), ("b", 201)]).withColumns({"seq": F.col("seq") + 10, "id": F.concat(F.lit("k"), F.col("seq").cast("string")), "queue_name": F.lit("x")})
+    assert {x["seq"]: x["job_id"] for x in c.enqueue_with_rate_limit(more, 10).collect()} == {10: None, 11: "k1", 12: "k2"}  # the key of j3 is held until 80
+    c = Client(empty(spark), S)
+    assert {x["seq"]: x["status"] for x in c.submit(r.withColumn("unique_key", F.col("key"))).collect()} == {0: "enqueued", 1: "existing", 2: "enqueued", 3: "existing"}
+    assert {x["seq"]: x["job_id"] for x in c.submit(more.withColumn("unique_key", F.col("key"))).collect()} == {10: "j0", 11: "j0", 12: "j2"}
+    c = Client(c.state.with_(jobs=c.state.jobs.where("id != 'j0'")), S, c.keys)
+    assert {x["seq"]: x["job_id"] for x in c.submit(more.withColumn("unique_key", F.col("key"))).collect()} == {10: "k0", 11: "k0", 12: "j2"}  # a key whose job is gone is free
     c = Client(empty(spark), S)
     assert c.enqueue_with_debounce(r, 10).count() == 3 and {(x["id"], x["job_params"]) for x in c.state.jobs.collect()} == {("j0", "p1"), ("j2", "p2"), ("j3", "p3")}
+    assert {(x["id"], x["next_scheduled_run_time"].second) for x in c.state.jobs.collect()} == {("j0", 15), ("j2", 16), ("j3", 20)}
+    answers = spark.createDataFrame([(1, "j", "enqueued", None), (2, " ", "existing", None), (3, None, "rejected", None), (4, None, "lost", None), (5, None, "rate_limited", None), (None, "j", "enqueued", None)], "seq long, job_id string, status string, reason string")
+    assert {x["seq"]: x["problem"] for x in checked(answers).collect()} == {1: None, 2: "no job id", 3: "no reason", 4: "unknown status", 5: None, None: "no request"}
     assert {tuple(x)[:2] for x in c.get_job_status(c.state.jobs).collect()} == {(i, "PENDING") for i in ("j0", "j2", "j3")}
     assert submission({"x": 1}, [2]) == {"x": 1, "args": [2]}
     with pytest.raises(ValueError):
