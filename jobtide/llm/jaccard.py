@@ -38,7 +38,7 @@ SHARED_COST = 8.0
 #: About so many documents are indexed in each way to measure the costs, and in the chosen way to find signatures that very many sets share.
 #: They decide how the work is done, never what is found.
 PLAN_SAMPLE, HOT_SAMPLE = 4_000, 20_000
-#: A signature that so many sets of the sample share is hot (at most HOT_SAMPLE * signatures of a set / HOT_SEEN of them); its rows are dealt to SALTS parts.
+#: A signature that so many sets of the sample share, copies that stand in different tasks included, is hot (at most HOT_SAMPLE * signatures of a set / HOT_SEEN of them); its rows are dealt to SALTS parts.
 HOT_SEEN, SALTS = 20, 256
 
 
@@ -256,7 +256,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, keyed
     classes = written(kinds.withColumn("node", F.monotonically_increasing_id()))
 
     table = measured_plans(docs, rows, percent, words)
-    often = index(_some(docs, rows, HOT_SAMPLE), percent, words, [table]).groupBy("sig").agg(F.approx_count_distinct("sid").alias("sets")).where(F.col("sets") >= HOT_SEEN)
+    often = index(_some(docs, rows, HOT_SAMPLE), percent, words, [table]).groupBy("sig").agg(F.count("*").alias("sets"), F.min("sid").alias("low"), F.max("sid").alias("high")).where((F.col("sets") >= HOT_SEEN) & (F.col("low") != F.col("high")))
     hot = written(often.select("sig", F.lit(True).alias("hot")))
     # rows of a hot signature, which several sets are known to share, are dealt to several parts
     found = index(docs, percent, words, [table]).select("sig", "sid").join(F.broadcast(hot), "sig", "left")
