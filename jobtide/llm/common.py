@@ -70,13 +70,25 @@ def discard(spark: SparkSession, *paths: str) -> None:
             _made.remove(p)
 
 
+#: Bytes of an Arrow batch between Spark and Python: texts are long, and batches of 10,000 of them would fill a task's memory.
+ARROW_BYTES, ARROW_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by their bytes, unless the session has a bound of its own."""
+    if spark.conf.get(ARROW_CONF, None) is None:
+        spark.conf.set(ARROW_CONF, str(ARROW_BYTES))
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id long, text string), so that no other column's name can clash with an operator's own."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def with_columns(docs: DataFrame, *keep: str) -> DataFrame:
     """(doc_id long, text string) and then the columns ``keep``, which may have those names again."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, sliced, with_columns
+from .common import mix, sliced, small_batches, with_columns
 
 DIM, GRAM, SEED = 512, 3, 20
 #: The prototypes are fitted on about so many labelled texts of a language at most, chosen by a hash of the id, and for so many of the most frequent
@@ -102,6 +102,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 def _sampled(labelled: DataFrame, sample: int) -> DataFrame | None:
     """(lang, text) of about ``sample`` texts of a language at most, by a hash of the id; None if no row is labelled."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     # the most frequent languages: a bounded number of rows reaches the driver
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stretches, blocks, discard, made, mix, powers, ragged, scratch, signed, sliced, written
+from .common import Stretches, blocks, discard, made, mix, powers, ragged, scratch, signed, sliced, small_batches, written
 
 LENGTH = 200
 #: Window starts of a text that are handled at once; the positions of a unit fit into 24 bits.
@@ -369,6 +369,7 @@ def cleaned(docs: DataFrame, *keep: str, length: int = LENGTH, keep_text: bool =
     Texts are told apart by 128 bits. Strings are compared as bytes where contents differ; whole spans of equal anchors, and windows of hot
     groups, by 64-bit hashes of at most 2 * ``length`` bytes.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("t"), F.xxhash64(F.lit("u"), text).alias("u"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(keep)])
     path = scratch(docs.sparkSession)

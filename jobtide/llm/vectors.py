@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 def finite(v: Column) -> Column:
     return v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -14,6 +16,7 @@ def finite(v: Column) -> Column:
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the rows that take part: an id, finite components, and the table's most frequent length (the larger of equals)."""
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(finite(F.col("embedding")), F.lit(False)) & (F.size("embedding") > 0))
     common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
