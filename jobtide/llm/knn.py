@@ -20,8 +20,8 @@ from .vectors import matrix, sampled, usable
 
 #: Data vectors that stand in one block at most, about; larger cells are cut by a hash of the id. Queries stream past a block.
 DATA_BLOCK = 32_768
-#: Vectors of a cell, on average, as long as there are fewer than MAX_PIVOTS cells; the pivots are fitted on PIVOT_SAMPLE vectors.
-CELL_ROWS, MAX_PIVOTS, PIVOT_SAMPLE = 4096, 256, 4096
+#: There are as many cells as the root of the number of vectors over ROOT_SHARE, MAX_PIVOTS at most; the pivots are fitted on PIVOT_SAMPLE vectors.
+ROOT_SHARE, MAX_PIVOTS, PIVOT_SAMPLE = 8, 256, 4096
 #: Rows of scores that a task holds at once.
 QUERY_ROWS = 128
 
@@ -91,7 +91,7 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, query_step: int
     if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     kind = next((t for t, top in (("<i1", 127), ("<i2", 32767), ("<i4", 2**31 - 1)) if most <= top), "<f8")
-    pivots = _pivots(sampled(rows, "x", PIVOT_SAMPLE), max(2, min(MAX_PIVOTS, n_data // CELL_ROWS)))
+    pivots = _pivots(sampled(rows, "x", PIVOT_SAMPLE), max(2, min(MAX_PIVOTS, int(n_data**0.5 / ROOT_SHARE))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -369,9 +369,9 @@ def test_top_k(spark, points, monkeypatch):
         order = [j for j in np.lexsort((ids, -s)) if j != at][:20]
         want |= {(int(ids[at]), k + 1, int(ids[j]), int(s[j])) for k, j in enumerate(order)}
     assert {tuple(r) for r in knn.top_k(vectors(spark, points)).collect()} == want
-    for block, cell, scale in ((100, 40, 64), (15, 100, 64), (100, 40, 3000)):
+    for block, share, scale in ((100, 1, 64), (15, 4, 64), (100, 2, 3000)):
         monkeypatch.setattr(knn, "DATA_BLOCK", block)
-        monkeypatch.setattr(knn, "CELL_ROWS", cell)
+        monkeypatch.setattr(knn, "ROOT_SHARE", share)
         found = {tuple(r) for r in knn.top_k(vectors(spark, points), scale=float(scale)).collect()}
         if scale == 64:
             assert found == want
