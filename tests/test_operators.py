@@ -209,6 +209,33 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert sum(x or 0 for x in seen) > 0
 
 
+def test_streams_of_completions_and_load(spark, tmp_path):
+    jobs = fx.jobs(spark, SF)
+    events = jobs.where("status in ('COMPLETED', 'FAILED', 'PENDING')").select(F.col("id").alias("job_id"), "status")
+    events.write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    got = []
+    admission.drain(admission.completions(stream, jobs), lambda df, n: got.extend(df.collect()), str(tmp_path / "c"))
+    assert {(r["job_id"], r["function_name"]) for r in got} == {(r["id"], r["function_name"]) for r in jobs.where("status in ('COMPLETED', 'FAILED')").collect()}
+    load = wire.generated_load(spark, 50)
+    query = load.writeStream.format("memory").queryName("load").trigger(once=True).start()
+    query.awaitTermination(60)
+    assert load.isStreaming and load.columns == ["id", "timestamp"]
+
+
+def test_rank_pages(spark):
+    s = fx.state(spark, SF)
+    order = {}
+    for r in sorted(s.queue.collect(), key=lambda r: (r["score_ms"], r["job_id"])):
+        order.setdefault(r["queue_name"], []).append(r["job_id"])
+    for start, stop in ((0, 4), (3, 3), (-5, -1), (2, -3), (-4, 10_000), (-10_000, -2), (5, 2)):
+        want = set()
+        for q, ids in order.items():
+            lo, hi = (x if x >= 0 else len(ids) + x for x in (start, stop))
+            want |= {(q, i, ids[i]) for i in range(max(lo, 0), min(hi, len(ids) - 1) + 1)}
+        assert {(r["queue_name"], r["rank"], r["job_id"]) for r in claim.rank_page(s, start, stop).collect()} == want
+
+
 def test_client(spark):
     r = requests(spark, [("a", 0), ("a", 5), ("b", 6), ("a", 70)]).withColumns({"id": F.concat(F.lit("j"), F.col("seq").cast("string")), "queue_name": F.lit("x")})
     c = Client(empty(spark), S)
