@@ -325,9 +325,9 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "t long, u long, start long, size long")
 
 
-def _at_texts(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """The set of ``rows``' values by text joined to the texts. Copies of a text bring equal rows, which count once."""
-    return texts.join(rows.groupBy("t", "u").agg(F.collect_set("mark").alias("marks")), ["t", "u"], how)
+def _by_text(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """The set of ``rows``' values of each text (t, u). Copies of a text bring equal rows, which count once. Written, so that a text with very many copies is split in a join."""
+    return written(rows.groupBy("t", "u").agg(F.collect_set("mark").alias("marks")), path)
 
 
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -351,7 +351,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def at_texts(of: Column) -> DataFrame:
         wanted = compared.where(of).select("t", "u", F.struct("anchor", *_unpacked(F.col("span"), length)[:2]).alias("mark"))
-        return _at_texts(texts, wanted, "inner").select("t", "u", "text", "marks")
+        return texts.join(_by_text(wanted), ["t", "u"]).select("t", "u", "text", "marks")
 
     hot, none = F.col("n") > HOT_SPANS, F.lit(0).cast("long")
     found = found.unionByName(_compared(_contexts(at_texts(~hot)), length).withColumn("again", none))
@@ -374,7 +374,7 @@ def cleaned(docs: DataFrame, *keep: str, length: int = LENGTH, keep_text: bool =
     rows = docs.select(F.xxhash64(text).alias("t"), F.xxhash64(F.lit("u"), text).alias("u"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(keep)])
     path = scratch(docs.sparkSession)
     before = made()
-    marks = written(repeats(rows.select("t", "u", "text"), length), path)
+    marks = _by_text(repeats(rows.select("t", "u", "text"), length), path)
     discard(docs.sparkSession, *[p for p in made() if p not in before])
 
     def own_repeats(x: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -409,4 +409,4 @@ def cleaned(docs: DataFrame, *keep: str, length: int = LENGTH, keep_text: bool =
     fields = [T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.StringType())] * keep_text]
     schema = T.StructType([*fields, *docs.select(*keep).schema.fields])
     carried = [f"carried_{i}" for i in range(len(keep))]
-    return _at_texts(rows, marks, "left").select("doc_id", "text", "marks", *carried).mapInArrow(run, schema)
+    return rows.join(marks, ["t", "u"], "left").select("doc_id", "text", "marks", *carried).mapInArrow(run, schema)
